@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.chat import OP4_SQL, op4_chat_formatting
 from graphloom.llm.langid import op1_language_id
+from graphloom.llm.pieces import op5_sentencepiece
 from graphloom.llm.simhash import op2_simhash_near_dedup
 from graphloom.llm.sketch import op3_document_fingerprints
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_sentencepiece": op5_sentencepiece,
 }
 
 SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL}
