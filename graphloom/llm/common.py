@@ -24,6 +24,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -90,15 +91,18 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The lower-cased words of the texts of a batch: byte spans, and the first word of each text."""
+    """The lower-cased words of the texts of a batch: byte spans, and the first word of each text.
 
-    def __init__(self, array: pa.Array):
+    Blanks part words; with ``bare``, so does every ASCII character but letters and digits.
+    """
+
+    def __init__(self, array: pa.Array, bare: bool = False):
         raw, self.off = buffers(array)
         n = len(raw)
         self.low = np.zeros(n + 8, np.uint8)
         np.take(_LOWER, raw, out=self.low[:n])
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~_SPACE[raw]
+        inside[1:-1] = ~(_MARKS if bare else _SPACE)[raw]
         edge = np.zeros(n + 1, bool)
         edge[self.off] = True
         self.starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
