@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Words, fold, slices, stage
 
+#: The squared cosine at which a toxic neighbour weighs as much as silence.
+SILENT = 0.1
+
 
 class BlockMaxIndex:
     """Unit vectors, dense over few terms, in blocks with upper bounds per term."""
@@ -87,8 +90,9 @@ class Model:
     def votes(self, vectors: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         where, cosine = self.index.search(vectors, self.k, skip)
         w = np.where(where >= 0, cosine**2 * self.weight[where], 0)
-        total = w.sum(1)
-        return (w * self.toxic[where]).sum(1) / np.where(total > 0, total, 1), where, cosine
+        # distant neighbours alone don't decide: some weight stays with no label
+        rest = self.k * SILENT * (self.weight * self.toxic).sum() / max(1.0, self.toxic.sum())
+        return (w * self.toxic[where]).sum(1) / np.maximum(w.sum(1) + rest, 1e-300), where, cosine
 
     def vectors(self, words: Words) -> np.ndarray:
         """The unit TF-IDF vector of each text over the model's terms, zeros without any of them."""
@@ -140,9 +144,12 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000, terms: int = 256, least_chi2: float = 20.0, neighbours: int = 25) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000, terms: int = 256, least_chi2: float = 20.0, least_effect: float = 0.01, neighbours: int = 25) -> Model:
     """A model from labels (doc_id, toxic) and the texts of docs.
 
+    A term takes part if its chi-square over the sample is large enough, absolutely
+    and by row (``least_effect``, the square of its correlation with the label).
+
     The sample is bounded: per_class labelled rows of each class, of least hash.
     Rows without doc_id, label or text take no part; a doc_id with both labels
     counts as toxic.  Without any example the model scores 0.
@@ -163,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000, terms:
     seen = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("dt"))
     a, b = F.col("dt"), F.col("df") - F.col("dt")
     chi2 = F.lit(float(n)) * F.pow(a * (n - t) - b * t, F.lit(2.0)) / (F.col("df") * (F.lit(float(n)) - F.col("df") + 0.5) * float(t) * float(n - t))
-    best = seen.withColumn("chi2", chi2).where((F.col("chi2") >= least_chi2) & (F.col("df") >= 3)).orderBy(F.desc("chi2"), "term").limit(terms).collect()
+    best = seen.withColumn("chi2", chi2).where((F.col("chi2") >= max(least_chi2, least_effect * n)) & (F.col("df") >= 3)).orderBy(F.desc("chi2"), "term").limit(terms).collect()
     best.sort(key=lambda r: np.uint64(r.term & (1 << 64) - 1))
     names = np.array([r.term for r in best], np.int64).view(np.uint64)
     idf = np.array([math.log((1 + n) / (1 + r.df)) + 1 for r in best])
