@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, partitions, slices
+from graphloom.llm.common import fold, slices
 
 #: Classes of characters: 0 pads, 1 is anything but a letter, 2 is a letter without a class of its own.
 CLASSES = 128
@@ -150,8 +150,8 @@ def learn(docs: DataFrame, *, per_language: int = 48, max_chars: int = 4_000, re
     with a null label or text don't take part.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", (F.length("text") > max_chars).alias("long"), F.xxhash64("text", F.lit(7)).alias("h"))
-    # salted, so that a language with most of the rows isn't ranked in one task
-    rows = rows.withColumn("salt", F.pmod("h", F.lit(partitions(docs.sparkSession))))
+    # every partition keeps its least rows of each language; those meet in groups of partitions, and then in one
+    rows = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     for keys in (["lang", "salt"], ["lang"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("long", "h", "text"))
         rows = rows.withColumn("n", rank).where(F.col("n") <= per_language)
