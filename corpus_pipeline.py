@@ -1 +1,66 @@
-"""The corpus pipeline: to be filled as its operators are done."""
+"""The corpus pipeline: from raw documents to the token ids of a training mix.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
+it kept; all but the last return the columns of documents.  run() writes what each
+returns to the shared folder as Parquet, and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from graphloom.llm.common import stage
+from graphloom.llm.mixing import mix
+from graphloom.llm.passages import drop_repeats
+from graphloom.llm.pieces import default_model, digest_documents
+from graphloom.llm.simhash import keep_one
+from graphloom.llm.toxicity import keep_clean, trained
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of documents that are there."""
+    return keep_clean(docs, trained(spark, docs, sf_dir))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the least doc_id."""
+    return keep_one(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document of a lesser doc_id has too are cut out; n_chars stays that of the source."""
+    return drop_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, and those of small sources are repeated towards the target weights."""
+    return mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digests of the token ids of every row, and of what they decode to."""
+    return digest_documents(docs, default_model())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+
+#: None: SQL can express neither the classifier nor the encoder.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other, on the documents of a folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage(docs)
+    return docs
