@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.annsearch import op8_nearest_neighbours
 from graphloom.llm.bloomlm import op7_lm_scoring
 from graphloom.llm.chat import OP4_SQL, op4_chat_formatting
 from graphloom.llm.langid import op1_language_id
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_mixing": op6_mixing,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
