@@ -110,6 +110,22 @@ class Quantiser:
         return np.einsum("sd,swd->sw", self.parts(query[None])[0], self.books)
 
 
+def enough_probes(x: np.ndarray, centres: np.ndarray, k: int, reach: float, queries: int = 256) -> int:
+    """The cells to visit so that a share ``reach`` of the k nearest in the sample is met, for its first vectors as queries.
+
+    In all of the data neighbours are nearer than in a sample of it, and fewer cells would do.
+    """
+    if len(x) < 2:
+        return len(centres)
+    asked = x[:queries]
+    near = asked @ x.T
+    near[np.arange(len(asked)), np.arange(len(asked))] = -2
+    best = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    ranks = np.sort(np.take_along_axis(place, (x @ centres.T).argmax(1)[best], 1), axis=None)
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(reach * len(ranks))))]) + 1
+
+
 def pack(codes: np.ndarray) -> np.ndarray:
     """Two codes a byte."""
     even = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
@@ -133,7 +149,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where("vec_id IS NOT NULL AND v IS NOT NULL").where(~F.exists("v", odd)).where(F.exists("v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, *, every: int = 50, k: int = 5, per_cell: int = 1_000, most_cells: int = 1_024, probes: int = 24, keep: int = 60, sample: int = 8_000, block: int = 8_192, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, *, every: int = 50, k: int = 5, per_cell: int = 1_000, most_cells: int = 1_024, reach: float = 0.97, keep: int = 100, sample: int = 8_000, block: int = 8_192, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest, by cosine, of each row whose id is divisible by every.
 
     Null and zero vectors, those with null or non-finite components, those without an
@@ -141,6 +157,8 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, per_cell: int = 1
     own neighbour, but a row of equal vector and another id is; rows that repeat id
     and vector count once.  Ties go to the smaller id.  Partition and codebooks are
     fitted to a sample of ``sample`` vectors of least hash; every vector is indexed.
+    How many cells a query visits is found on the sample, for a share ``reach`` of
+    neighbours: few where vectors cluster, most where they don't.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
@@ -159,6 +177,7 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, per_cell: int = 1
     x = unit(np.array(chosen["v"].to_pylist(), float))
     cells = int(min(most_cells, max(1, total // per_cell), len(x)))
     centres = unit(kmeans(x, cells, np.random.default_rng(0)) + 1e-12)
+    probes = enough_probes(x, centres, k, reach)
     sent = spark.sparkContext.broadcast((Quantiser(x), centres))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
