@@ -73,7 +73,7 @@ def copies(docs: DataFrame, *, entropy_share: float = 0.95, most_passes: float =
     block; those of a source without any tokens are taken once.  Rows that repeat
     each other count as rows, and can't be told apart.
     """
-    if clash := {"__source", "__tokens", "__weight", "__copies"} & set(docs.columns):
+    if clash := {c for c in docs.columns if c.startswith("__")} & {"__source", "__tokens", "__weight", "__copies", "__h", "__block", "__left", "__passes", "__more"}:
         raise ValueError(f"columns {sorted(clash)} are in use")
     source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # null apart from any name
     marked = docs.withColumns({"__source": source, "__tokens": F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long"), "__h": F.xxhash64(F.lit(seed), "doc_id", "text")})
@@ -84,20 +84,20 @@ def copies(docs: DataFrame, *, entropy_share: float = 0.95, most_passes: float =
         raise ValueError(f"more than {MOST_SOURCES} sources")
     _, weights, tokens = quotas([r.total for r in totals], entropy_share=entropy_share, most_passes=most_passes, budget=budget)
     plan = [(r[0], float(w), *((q // r.total, q % r.total) if r.total else (1, 0))) for r, w, q in zip(totals, weights, tokens, strict=True)]
-    targets = docs.sparkSession.createDataFrame(plan, "__source string, __weight double, passes long, rest long")
+    targets = docs.sparkSession.createDataFrame(plan, "__source string, __weight double, __passes long, rest long")
     shuffled = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 1), "__source", "__block"), "__block")
     until = F.sum("tokens").over(shuffled.rowsBetween(Window.unboundedPreceding, 0))
     # left: tokens that remain for a block; it is whole, partial or beyond
     decided = blocks.join(F.broadcast(targets), "__source").withColumn("left", F.col("rest") - until + F.col("tokens"))
-    decided = decided.select("__source", "__block", "__weight", "passes", "left", F.when(F.col("left") >= F.col("tokens"), 1).when(F.col("left") <= 0, 0).alias("more"))
+    decided = decided.select("__source", "__block", "__weight", "__passes", F.col("left").alias("__left"), F.when(F.col("left") >= F.col("tokens"), 1).when(F.col("left") <= 0, 0).alias("__more"))
     if len(plan) * BLOCKS <= 1_000_000:  # a row of a few dozen bytes each
         decided = F.broadcast(decided)
     joined = marked.join(decided, ["__source", "__block"])
     within = Window.partitionBy("__source", "__block").orderBy("__h", "doc_id")
     so_far = F.sum("__tokens").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    partial = joined.where("more IS NULL").withColumn("more", (so_far <= F.col("left")).cast("int"))
-    every = joined.where("more IS NOT NULL").unionByName(partial)
-    return every.select(*docs.columns, F.substring("__source", 2, 1 << 30).alias("__source"), "__tokens", "__weight", (F.col("passes") + F.col("more")).alias("__copies"))
+    partial = joined.where("__more IS NULL").withColumn("__more", (so_far <= F.col("__left")).cast("int"))
+    every = joined.where("__more IS NOT NULL").unionByName(partial)
+    return every.select(*docs.columns, F.substring("__source", 2, 1 << 30).alias("__source"), "__tokens", "__weight", (F.col("__passes") + F.col("__more")).alias("__copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

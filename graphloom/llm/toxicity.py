@@ -82,8 +82,7 @@ class Model:
         self.knots = np.array([[0.0, 0.0]])
         bare = ~vectors.any(1)
         self.bare = float((self.weight * self.toxic)[bare].sum() / self.weight[bare].sum()) if bare.any() else 0.0
-        if len(vectors):
-            kept = np.flatnonzero(~bare)
+        if len(kept := np.flatnonzero(~bare)):
             votes, _, _ = self.votes(vectors[kept], kept)
             self.knots = monotone(votes, self.toxic[kept], self.weight[kept])
 
@@ -108,6 +107,8 @@ class Model:
 
     def score(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability, neighbours and cosines of each vector."""
+        if not vectors.shape[1]:
+            return np.full(len(vectors), self.bare), np.full((len(vectors), 1), -1), np.zeros((len(vectors), 1))
         unique, back = np.unique(vectors, axis=0, return_inverse=True)
         votes, where, cosine = self.votes(unique)
         p = np.interp(votes, self.knots[:, 0], self.knots[:, 1])
