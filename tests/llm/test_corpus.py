@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,54 @@ def test_passages(spark):
     assert passages.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_similar_passages_share_a_run():
+    assert passages.run_of(46, 0.8) == 21 and passages.run_of(46, 1.0) == 46
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    for trial in range(200):
+        n = (50, 60, 100)[trial % 3]
+        mine = [word() for _ in range(n)]
+        theirs = list(mine)
+        for k in (n // 2,) if n < 100 else (33, 66):
+            theirs[k] = word()
+        if trial % 2 and n < 100:
+            del theirs[n // 2]
+        if len(theirs) < 50:
+            continue
+        text = pa.array([" ".join([word() for _ in range(30)] + mine), " ".join(theirs + [word() for _ in range(40)])], pa.large_string())
+        _, h, first = passages.tokens(text)
+        doc, sign, *_ = passages.windows_of(h, first, 21, range(8, 9))
+        assert set(sign[doc == 0].tolist()) & set(sign[doc == 1].tolist())
+
+
+def near_documents(trials):
+    """Two documents each trial, the second with a changed copy of the first one's passage."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    for trial in range(trials):
+        mine = [word() for _ in range((50, 60, 70)[trial % 3])]
+        theirs = [*mine[: len(mine) // 2], word(), *mine[len(mine) // 2 + 1 :]]
+        yield 2 * trial, [word() for _ in range(60)] + mine + [word() for _ in range(40)]
+        yield 2 * trial + 1, [word() for _ in range(35)] + theirs + [word() for _ in range(50)]
+
+
+def test_near_passages_are_all_found(spark):
+    rows = [(i, " ".join(w), "s") for i, w in near_documents(90)]
+    got = passages.repeated_passages(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(2 * k + 1, 2 * k) for k in range(90)}
+    assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= 50 for r in got)
+
+
+def test_repetitive_stretches():
+    rng = random.Random(9)
+    text = [f"w{k}" for k in range(80)] + ["a", "b", "c", "d", "x", "a", "b", "c", "d", "y"] + [f"v{k}" for k in range(80)]
+    words = passages.Words(pa.array([" ".join(text), "", " ".join(rng.choice("ab") for _ in range(70))], pa.large_string()))
+    h, first = passages.shingles(words, words.hashes(), 5)
+    got = passages.repetitive(words, words.hashes(), first, 46)
+    want = [len({tuple(text[j : j + 4]) for j in range(i, min(i + 47, len(text) - 3))}) < min(47, len(text) - 3 - i) for i in range(len(text) - 4)]
+    assert got[: first[1]].tolist() == want and got[first[2] : first[2] + 21].all()
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows, labels = toxic_rows(200)
     rng = random.Random(6)
