@@ -200,6 +200,37 @@ def test_similar_passages_share_a_run():
         assert set(sign[doc == 0].tolist()) & set(sign[doc == 1].tolist())
 
 
+def test_alike_reaches_the_ends_and_parts():
+    rng = random.Random(10)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    fresh = lambda n: [word() for _ in range(n)]
+
+    def compare(mine, theirs):
+        _, h, first = passages.tokens(pa.array([" ".join(mine), " ".join(theirs)], pa.large_string()))
+        return list(passages.alike(h[: first[1]], h[first[1] :], 0.8, 46))
+
+    for at in (1, 3, 4, 47, 50):  # a change near an end
+        mine = fresh(52)
+        theirs = [*mine[:at], word(), *mine[at + 1 :]]
+        (i, j, m, n, likeness), *_ = compare(fresh(25) + mine + fresh(25), fresh(20) + theirs + fresh(30))
+        assert likeness >= 0.8 and j - i >= 46 and n - m >= 46 and i <= 25 + 6 and j >= 25 + 48 - 6
+    # a half that is alike beside one in which every sixth word is another
+    good, bad = fresh(60), fresh(60)
+    good_too = [*good[:30], word(), *good[31:]]
+    bad_too = [word() if k % 6 == 0 else w for k, w in enumerate(bad)]
+    found = compare(good + bad, good_too + bad_too)
+    assert found and min(x[0] for x in found) <= 5 and max(x[1] for x in found) >= 50 and all(x[4] >= 0.8 for x in found)
+    # two words put in, or left out
+    assert compare(mine[:25] + fresh(2) + mine[25:], mine) and compare(mine, mine[:25] + fresh(2) + mine[25:])
+    # two words only: tokens recur, and hardly in the same order
+    few = [[rng.choice("ab") for _ in range(60)] for _ in range(2)]
+    _, h, first = passages.tokens(pa.array([" ".join(x) for x in few], pa.large_string()))
+    x, y = h[: first[1]].tolist(), h[first[1] :].tolist()
+    best = max(len(set(x[i : i + 46]) & set(y[j : j + 46])) / len(set(x[i : i + 46]) | set(y[j : j + 46])) for i in range(11) for j in range(11))
+    assert bool(compare(*few)) >= (best >= 0.8)
+    assert not compare(fresh(80), fresh(80)) and not compare(good[:44] + fresh(9), good[:44] + fresh(9))
+
+
 def near_documents(trials):
     """Two documents each trial, the second with a changed copy of the first one's passage."""
     rng = random.Random(8)
