@@ -21,6 +21,8 @@ def escape(text: Column) -> Column:
     """text with a backslash inside each control string, and before each backslash."""
     text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     text = F.replace(text, F.lit("### "), F.lit("##\\# "))
+    # what is written after a text begins with a blank
+    text = F.regexp_replace(text, r"###\z", r"##\\#")
     return F.replace(text, F.lit("</turn>"), F.lit("<\\/turn>"))
 
 

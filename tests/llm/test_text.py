@@ -182,3 +182,12 @@ def test_encode_odd_rows(spark):
     got = {(r.doc_id, r.n_tokens, r.decoded) for r in pieces.encode_documents(docs(spark, rows), pieces.default_model()).collect()}
     assert (1, 1, "") in got and (2, 1, "") in got and {g[2] for g in got} == {"", "  two  blanks ", "x" * 5_000}
     assert pieces.digest_documents(docs(spark, []), pieces.default_model()).count() == 0
+
+
+def test_chat_text_that_ends_in_marks(spark):
+    texts = ["###", "x ###", "####", "\\###", "### ###", "###\n"]
+    rows = [(1, k, role, x) for k, (role, x) in enumerate((r, x) for x in texts for r in ("user", "assistant", "###"))]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert [(t.role, t.text) for t in out.turns] == [r[2:] for r in rows]
+    learned = [__import__("re").sub(r"(?s)\\(.)", r"\1", out.formatted[s.start : s.start + s.length]) for s in out.loss]
+    assert learned == texts
