@@ -31,11 +31,13 @@ _S29, _S32 = np.uint64(29), np.uint64(32)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is configured."""
+    """The folder that all executors share; a folder of this machine only where none is set and all work is done here."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not getattr(sc, "_graphloom_dir", None):
         sc._graphloom_dir = "file://" + tempfile.mkdtemp(prefix="graphloom-")
     return sc._graphloom_dir
@@ -47,7 +49,16 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove what stage() wrote, and the shuffle files of plans that nothing refers to any more."""
+    for df in staged:
+        drop(df.sparkSession, df._staged)
+    staged[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -60,6 +71,17 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A name like each of names that df has no column of; Spark doesn't tell cases apart."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

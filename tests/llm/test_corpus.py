@@ -150,16 +150,38 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.score(docs(spark, rows[:3]), none).collect()} == {0.0}
 
 
+def tree_nodes(keys, width):
+    """(least place, span) of the nodes of a Cartesian tree whose span holds width keys."""
+    out, todo = set(), [(0, len(keys))]
+    while todo:
+        a, b = todo.pop()
+        if b - a >= width:
+            k = min(range(a, b), key=keys.__getitem__)
+            out.add((k, a, b))
+            todo += [(a, k), (k + 1, b)]
+    return out
+
+
 def test_windows_are_cartesian_tree_nodes():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    h[200:230] = h[300:330]
     first = np.array([0, 150, 150, 400])
-    doc, sign, a, b, c = passages.windows_of(h, first, 46)
-    covered = Counter()
-    for d, x, y in zip(doc, a, b, strict=True):
-        covered.update((d, k) for k in range(x, y + 1))
-    want = {(d, k): passages.BANDS for d in range(3) for k in range(max(0, first[d + 1] - first[d] - 45))}
-    assert dict(covered) == want and ((c >= a) & (c < b + 46)).all()
+    width, run = 46, 21
+    doc, sign, p = passages.windows_of(h, first, width, run, np.zeros(400, bool))
+    got = {(d, x) for d, x in zip(doc.tolist(), p.tolist(), strict=True)}
+    want = set()
+    for d in range(3):
+        own = h[first[d] : first[d + 1]]
+        if not len(own):
+            continue
+        keys = passages._seeded(own, np.arange(len(own)), passages.BANDS * passages.PER_BAND).tolist()
+        # a run holds a window and the tokens that follow it: windows end that much before the text does
+        stop = len(own) - run + (run - passages.CONTEXT + 1)
+        want |= {(d, k) for k, _, _ in tree_nodes(keys[:stop], run - passages.CONTEXT + 1)}
+    assert got == want
+    shared = set(sign[(doc == 2) & (p >= 50) & (p < 72)].tolist()) & set(sign[(doc == 2) & (p >= 150) & (p < 172)].tolist())
+    assert shared  # equal runs have equal signatures
 
 
 def test_passages(spark):
@@ -171,7 +193,7 @@ def test_passages(spark):
     rows = {1: text(40) + shared + text(20), 2: text(10) + [w.upper() for w in shared] + text(70), 3: short + text(100), 4: text(50) + short, 5: text(90) + near, 6: shared, 7: text(10)}
     given_ = [(i, "\n".join(w), "s") for i, w in rows.items()] + [(8, None, "s"), (9, "", "s"), (None, " ".join(shared), "s"), (6, "\n".join(shared), "s")]
     got = {(r.doc_id, r.start_word, r.end_word, r.other_id) for r in passages.repeated_passages(docs(spark, given_)).collect()}
-    assert (2, 10, 70, 1) in got and (6, 0, 60, 1) in got and {g[0] for g in got} <= {2, 5, 6} and {g[3] for g in got} == {1}
+    assert (2, 10, 70, 1) in got and (6, 0, 60, 1) in got and {g[0] for g in got} == {2, 5, 6} and {g[3] for g in got} == {1}
     out = passages.drop_repeats(docs(spark, given_))
     left = {r.doc_id: r.text for r in out.where("doc_id IS NOT NULL").collect()}
     assert out.columns == docs(spark, given_).columns
@@ -196,7 +218,7 @@ def test_similar_passages_share_a_run():
             continue
         text = pa.array([" ".join([word() for _ in range(30)] + mine), " ".join(theirs + [word() for _ in range(40)])], pa.large_string())
         _, h, first = passages.tokens(text)
-        doc, sign, *_ = passages.windows_of(h, first, 21, range(8, 9))
+        doc, sign, _ = passages.windows_of(h, first, 46, 21, np.zeros(len(h), bool))
         assert set(sign[doc == 0].tolist()) & set(sign[doc == 1].tolist())
 
 
@@ -207,7 +229,7 @@ def test_alike_reaches_the_ends_and_parts():
 
     def compare(mine, theirs):
         _, h, first = passages.tokens(pa.array([" ".join(mine), " ".join(theirs)], pa.large_string()))
-        return list(passages.alike(h[: first[1]], h[first[1] :], 0.8, 46))
+        return passages.alike(h[: first[1]], h[first[1] :], len(mine) // 50, 60, 0.8, 46)
 
     for at in (1, 3, 4, 47, 50):  # a change near an end
         mine = fresh(52)
