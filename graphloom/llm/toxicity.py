@@ -1,13 +1,15 @@
 """Toxicity: votes of the nearest labelled examples under TF-IDF cosine.
 
 Labels are learned from a bounded sample of labelled rows, so many per class, of
-least hash.  The terms of the vector space are those that tell the classes apart:
-by chi-square over the sample, counted by Spark.  The examples, as unit TF-IDF
-vectors over these terms, make an inverted index whose postings are cut into
-blocks of examples that share terms, each with the largest weight per term.  The
-sum of a query's weights times a block's largest weights bounds every cosine in
-it, so blocks are visited from the largest bound on, until no bound exceeds the
-k-th best cosine found: the neighbours are exactly those of a full scan.
+least hash.  A vector holds every term whose frequency differs between the classes
+of the sample beyond chance (by chi-square, whose level is a parameter; terms are as
+many as reach it); inverse document frequencies are counted over all
+documents.  The examples, as unit TF-IDF vectors, make an inverted index: for each
+term the examples that have it, with weights, cut into blocks of examples that share
+terms, and the largest weight of each block.  The sum of a query's weights times a
+block's largest weights bounds every cosine in it, so blocks are scored from the
+largest bound on, until no bound exceeds the k-th best cosine found: the neighbours
+are exactly those of a full scan.
 
 Votes are weighted by cosine and by what share of its class an example stands
 for.  A monotone map, fitted on the examples' own scores with each left out of
@@ -16,12 +18,11 @@ its neighbours, turns votes into probabilities.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Words, fold, slices, stage
@@ -30,96 +31,144 @@ from graphloom.llm.common import Words, fold, slices, stage
 SILENT = 0.1
 
 
+class Sparse:
+    """Sparse rows: row k has the terms at[first[k] : first[k + 1]], ascending, with these weights."""
+
+    def __init__(self, first: np.ndarray, at: np.ndarray, weight: np.ndarray):
+        self.first, self.at, self.weight = first, at, weight
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        to = slice(self.first[k], self.first[k + 1])
+        return self.at[to], self.weight[to]
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        size = np.diff(self.first)[rows]
+        first = np.concatenate([[0], np.cumsum(size)])
+        spots = np.arange(first[-1]) + np.repeat(self.first[rows] - first[:-1], size)
+        return Sparse(first, self.at[spots], self.weight[spots])
+
+    @property
+    def filled(self) -> np.ndarray:
+        return np.diff(self.first) > 0
+
+
+def weigh(rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, idf: np.ndarray) -> Sparse:
+    """Unit TF-IDF rows from counts of terms, sorted by row and term."""
+    weight = (1 + np.log(counts)) * idf[terms]
+    norm = np.sqrt(np.bincount(rows, weight**2, n))
+    return Sparse(np.searchsorted(rows, np.arange(n + 1)), terms, weight / norm[rows])
+
+
 class BlockMaxIndex:
-    """Unit vectors, dense over few terms, in blocks with upper bounds per term."""
+    """Inverted lists over unit vectors, in blocks of examples with the largest weight of each term."""
 
-    def __init__(self, vectors: np.ndarray, size: int = 64):
-        n = len(vectors)
+    def __init__(self, vectors: Sparse, size: int = 64):
+        self.n, self.size = len(vectors), size
         # neighbours in the order of their terms share a block, which keeps the bounds tight
-        self.order = np.lexsort((vectors > 0).T[::-1]) if n else np.zeros(0, int)
-        self.vectors, self.size = vectors[self.order], size
-        self.blocks = range(0, n, size)
-        self.most = np.array([self.vectors[b : b + size].max(0) for b in self.blocks]).reshape(len(self.blocks), vectors.shape[1])
-
-    def search(self, queries: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        names = [vectors.row(k)[0].tolist() for k in range(self.n)]
+        self.order = np.array(sorted(range(self.n), key=lambda k: names[k]), np.int64)
+        place = np.empty(self.n, np.int64)
+        place[self.order] = np.arange(self.n)
+        row = place[np.repeat(np.arange(self.n), np.diff(vectors.first))]
+        by = np.lexsort((row, vectors.at))
+        self.row, self.weight, term = row[by], vectors.weight[by], vectors.at[by]
+        self.lists = np.searchsorted(term, np.arange(int(term.max(initial=-1)) + 2))  # each term's postings
+        block = self.row // size
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(term) > 0) | (np.diff(block) > 0)])) if len(term) else np.zeros(0, np.int64)
+        self.most = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0)
+        self.block = block[head]
+        self.maxima = np.searchsorted(term[head], np.arange(len(self.lists)))  # each term's blocks
+        self.scored = 0  # postings looked at, for tests
+
+    def search(self, queries: Sparse, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples of each query and their cosines, nearest first, ties to the lower number; -1 and 0 where none shares a term.
 
         skip: for each query, an example that doesn't count.
         """
-        m = len(queries)
-        where, cosine = np.full((m, k), -1), np.zeros((m, k))
-        if not len(self.blocks) or not m:
-            return where, cosine
-        bounds = queries @ self.most.T + 1e-9
-        rank = np.argsort(-bounds, axis=1, kind="stable")
-        live = np.arange(m)
-        for turn in range(len(self.blocks)):
-            mine = rank[live, turn]
-            live = live[(bounds[live, mine] > cosine[live, -1] - 1e-9) & (bounds[live, mine] > 2e-9)]
-            if not len(live):
-                break
-            mine = rank[live, turn]
-            for block in np.unique(mine):
-                rows = live[mine == block]
-                at = block * self.size
-                found = queries[rows] @ self.vectors[at : at + self.size].T
-                ids = np.broadcast_to(self.order[at : at + self.size], found.shape)
+        where, cosine = np.full((len(queries), k), -1), np.zeros((len(queries), k))
+        for n in range(len(queries)):
+            terms, weight = queries.row(n)
+            known = terms < len(self.lists) - 1
+            terms, weight = terms[known], weight[known]
+            if not len(terms):
+                continue
+            spots, share = self._spread(self.maxima, terms, weight)
+            bounds = np.bincount(self.block[spots], share * self.most[spots])
+            spots, share = self._spread(self.lists, terms, weight)
+            row = self.row[spots]
+            value, block = share * self.weight[spots], row // self.size
+            ranked = np.argsort(-bounds, kind="stable")
+            ids, scores, at, some = np.zeros(0, np.int64), np.zeros(0), 0, max(2, k // self.size + 1)
+            while at < len(ranked) and bounds[ranked[at]] > 0 and not (len(scores) == k and bounds[ranked[at]] < scores[-1] - 1e-9):
+                these = np.zeros(len(bounds), bool)
+                these[ranked[at : at + some]] = True
+                mine = these[block]
+                self.scored += int(mine.sum())
+                sums = np.bincount(row[mine], value[mine])
+                found = np.flatnonzero(sums)
+                new, score = self.order[found], sums[found].round(12)
                 if skip is not None:
-                    found = np.where(ids == skip[rows][:, None], 0, found)
-                values, names = np.hstack([cosine[rows], found.round(12)]), np.hstack([where[rows], np.where(found > 0, ids, -1)])
-                values = np.where(names < 0, 0, values)
-                best = np.lexsort((np.where(names < 0, len(self.order), names), -values), axis=1)[:, :k]
-                cosine[rows], where[rows] = np.take_along_axis(values, best, 1), np.take_along_axis(names, best, 1)
+                    new, score = new[new != skip[n]], score[new != skip[n]]
+                ids, scores = np.concatenate([ids, new]), np.concatenate([scores, score])
+                best = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[best], scores[best]
+                at, some = at + some, 2 * some
+            where[n, : len(ids)], cosine[n, : len(ids)] = ids, scores
         return where, cosine
 
+    @staticmethod
+    def _spread(edges: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the entries of the terms' lists are, and the query's weight at each."""
+        begin, size = edges[terms], edges[terms + 1] - edges[terms]
+        return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size), np.repeat(weight, size)
+
 
 class Model:
     """Terms, examples and the map from votes to probabilities."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, vectors: np.ndarray, ids: list, toxic: np.ndarray, weight: np.ndarray, k: int):
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, vectors: Sparse, ids: list, toxic: np.ndarray, weight: np.ndarray, k: int):
         self.terms, self.idf, self.ids, self.toxic, self.weight, self.k = terms, idf, ids, toxic, weight, k
         self.index = BlockMaxIndex(vectors)
         self.knots = np.array([[0.0, 0.0]])
-        bare = ~vectors.any(1)
+        bare = ~vectors.filled
         self.bare = float((self.weight * self.toxic)[bare].sum() / self.weight[bare].sum()) if bare.any() else 0.0
         if len(kept := np.flatnonzero(~bare)):
-            votes, _, _ = self.votes(vectors[kept], kept)
+            votes, _, _ = self.votes(vectors.take(kept), kept)
             self.knots = monotone(votes, self.toxic[kept], self.weight[kept])
 
-    def votes(self, vectors: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def votes(self, vectors: Sparse, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         where, cosine = self.index.search(vectors, self.k, skip)
+        if not len(self.ids):
+            return np.zeros(len(vectors)), where, cosine
         w = np.where(where >= 0, cosine**2 * self.weight[where], 0)
         # distant neighbours alone don't decide: some weight stays with no label
         rest = self.k * SILENT * (self.weight * self.toxic).sum() / max(1.0, self.toxic.sum())
         return (w * self.toxic[where]).sum(1) / np.maximum(w.sum(1) + rest, 1e-300), where, cosine
 
-    def vectors(self, words: Words) -> np.ndarray:
-        """The unit TF-IDF vector of each text over the model's terms, zeros without any of them."""
-        h = words.hashes()
-        out = np.zeros((len(words.off) - 1, len(self.terms)))
-        if not len(self.terms):
-            return out
-        at = np.searchsorted(self.terms, h)
-        at[at == len(self.terms)] = 0
-        hit = np.flatnonzero(self.terms[at] == h)
-        np.add.at(out, (np.searchsorted(words.first, hit, "right") - 1, at[hit]), 1)
-        return weigh(out, self.idf)
-
-    def score(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability, neighbours and cosines of each vector."""
-        if not vectors.shape[1]:
-            return np.full(len(vectors), self.bare), np.full((len(vectors), 1), -1), np.zeros((len(vectors), 1))
-        unique, back = np.unique(vectors, axis=0, return_inverse=True)
-        votes, where, cosine = self.votes(unique)
-        p = np.interp(votes, self.knots[:, 0], self.knots[:, 1])
-        p = np.where(unique.any(1) & (where[:, 0] >= 0), p, self.bare)
-        return p[back.ravel()], where[back.ravel()], cosine[back.ravel()]
-
+    def vectors(self, words: Words) -> Sparse:
+        """The unit TF-IDF vector of each text over the model's terms."""
+        n, h = len(words.off) - 1, words.hashes()
+        at = np.minimum(np.searchsorted(self.terms, h), max(0, len(self.terms) - 1))
+        hit = np.flatnonzero(self.terms[at] == h) if len(self.terms) else np.zeros(0, np.int64)
+        size = max(1, len(self.terms))
+        both, counts = np.unique((np.searchsorted(words.first, hit, "right") - 1) * size + at[hit], return_counts=True)
+        return weigh(both // size, both % size, counts, n, self.idf)
 
-def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    tfidf = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
-    norm = np.sqrt((tfidf**2).sum(1, keepdims=True))
-    return tfidf / np.where(norm > 0, norm, 1)
+    def score(self, vectors: Sparse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability, neighbours and cosines of each vector."""
+        p, where, cosine = np.full(len(vectors), self.bare), np.full((len(vectors), self.k), -1), np.zeros((len(vectors), self.k))
+        known: dict[tuple[bytes, bytes], int] = {}  # equal vectors are searched once
+        back = np.array([known.setdefault(tuple(x.tobytes() for x in vectors.row(k)), k) for k in np.flatnonzero(vectors.filled)], np.int64)
+        if len(back):
+            unique, back = np.unique(back, return_inverse=True)
+            votes, near, much = self.votes(vectors.take(unique))
+            found = np.where(near[:, 0] >= 0, np.interp(votes, self.knots[:, 0], self.knots[:, 1]), self.bare)
+            rows = np.flatnonzero(vectors.filled)
+            p[rows], where[rows], cosine[rows] = found[back], near[back], much[back]
+        return p, where, cosine
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -145,54 +194,96 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000, terms: int = 256, least_chi2: float = 20.0, least_effect: float = 0.01, neighbours: int = 25) -> Model:
-    """A model from labels (doc_id, toxic) and the texts of docs.
+def sampled(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(ident, toxic) of at most per_class labelled ids of each class, of least hash, and the number of each class.
+
+    The least hashes are those below a bound that counts of 65,536 ranges of hashes
+    give, so no task has to rank a class; ids of the range where the count runs
+    over go, so some fewer may be taken.
+    """
+    given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("ident")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    given = given.withColumn("range", F.shiftrightunsigned(F.xxhash64("ident", F.lit(11)), 48).cast("int"))
+    sizes, bound = {}, {}
+    for r in given.groupBy("toxic", "range").count().orderBy("range").collect():
+        sizes[r.toxic] = sizes.get(r.toxic, 0) + r["count"]
+        if sizes[r.toxic] <= per_class:
+            bound[r.toxic] = r.range
+    below = [(F.col("toxic") == c) & (F.col("range") <= b) for c, b in bound.items()]
+    return given.where(below[0] | below[1] if len(below) == 2 else below[0] if below else F.lit(False)).select("ident", "toxic"), sizes
 
-    A term takes part if its chi-square over the sample is large enough, absolutely
-    and by row (``least_effect``, the square of its correlation with the label).
 
-    The sample is bounded: per_class labelled rows of each class, of least hash.
-    Rows without doc_id, label or text take no part; a doc_id with both labels
-    counts as toxic.  Without any example the model scores 0.
+def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many texts docs has, and how many of them have each of the terms."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = sent.value, 0
+        have = np.zeros(len(known) + 1, np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            for part in slices(batch, 0, 2 << 20):
+                words = Words(part.column(0), bare=True)
+                h = words.hashes()
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = np.flatnonzero(known[at] == h)
+                both = np.unique((np.searchsorted(words.first, hit, "right") - 1) * len(known) + at[hit])
+                have[:-1] += np.bincount(both % len(known), minlength=len(known))
+        have[-1] = n
+        kept = np.flatnonzero(have)
+        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(have[kept])], ["term", "n"])
+
+    rows = docs.where("text IS NOT NULL").select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(terms) + 1, np.int64)
+    for r in rows:
+        out[r.term] = r.n
+    return int(out[-1]), out[:-1]
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000, least_chi2: float = 20.0, least_effect: float = 0.0125, neighbours: int = 25) -> Model:
+    """A model from labels (doc_id, toxic) and the texts of docs.
+
+    The sample is bounded: per_class labelled rows of each class, of least hash.  A
+    term takes part if the chi-square of its presence and the label over the sample
+    is least_chi2 at least (20 is a chance of one in 100,000), and by row, which is
+    the square of their correlation, least_effect (copies in the sample make weak
+    correlations look sure), and if three examples have it.  Rows without doc_id, label or text take no part; a doc_id with both labels
+    counts as toxic, and one with several texts as the least of them.  Without any
+    example of either class, as with empty tables, the model scores 0.
     """
-    given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    given = given.withColumn("h", F.xxhash64("doc_id", F.lit(11)))
-    sizes = {r.toxic: r["count"] for r in given.groupBy("toxic").count().collect()}
-    rows = given.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    for keys in (["toxic", "salt"], ["toxic"]):
-        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("n") <= per_class)
-    chosen = stage(rows.select(F.col("doc_id").alias("__id"), "toxic"))  # at most twice per_class ids
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "toxic", "text")
+    chosen, sizes = sampled(labels, per_class)
+    chosen = stage(chosen)  # at most twice per_class ids
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("ident"))
+    texts = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     sample = stage(texts.mapInArrow(_terms, "doc_id long, toxic int, terms array<long>, counts array<long>"))
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n, t = totals.n, totals.t
     if not n or not t or t == n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 0)), [], np.zeros(0), np.zeros(0), neighbours)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), Sparse(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], np.zeros(0), np.zeros(0), neighbours)
     seen = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("dt"))
     a, b = F.col("dt"), F.col("df") - F.col("dt")
     chi2 = F.lit(float(n)) * F.pow(a * (n - t) - b * t, F.lit(2.0)) / (F.col("df") * (F.lit(float(n)) - F.col("df") + 0.5) * float(t) * float(n - t))
-    best = seen.withColumn("chi2", chi2).where((F.col("chi2") >= max(least_chi2, least_effect * n)) & (F.col("df") >= 3)).orderBy(F.desc("chi2"), "term").limit(terms).collect()
-    best.sort(key=lambda r: np.uint64(r.term & (1 << 64) - 1))
-    names = np.array([r.term for r in best], np.int64).view(np.uint64)
-    idf = np.array([math.log((1 + n) / (1 + r.df)) + 1 for r in best])
-    place = {int(h): k for k, h in enumerate(names.view(np.int64))}
-    wanted = F.array(*[F.lit(int(h)) for h in names.view(np.int64)]) if best else F.array().cast("array<long>")
-    few = sample.select("doc_id", "toxic", F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(wanted, x["terms"])).alias("terms")).orderBy("doc_id", F.to_json("terms"))
-    examples = few.collect()
-    counts = np.zeros((n, len(best)))
-    for k, r in enumerate(examples):
-        for x in r.terms:
-            counts[k, place[x.terms]] = x.counts
-    toxic = np.array([r.toxic for r in examples], float)
+    wanted = seen.where((chi2 >= max(least_chi2, least_effect * n)) & (F.col("df") >= 3)).select("term")
+    names = np.sort(wanted.toArrow()["term"].to_numpy().view(np.uint64))
+    whole, have = document_counts(docs, names) if len(names) else (n, np.zeros(0))
+    idf = np.log((1 + whole) / (1 + have)) + 1
+    # a row per example and term, all within the sample's bound
+    rows = sample.select("doc_id", "toxic", F.explode_outer(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", "toxic", F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+    rows = rows.join(F.broadcast(wanted), "term", "left_semi").toArrow()
+    heads = sample.select("doc_id", "toxic").orderBy("doc_id").toArrow()
+    ids, toxic = heads["doc_id"].to_numpy(), heads["toxic"].to_numpy().astype(float)
+    row, term = np.searchsorted(ids, rows["doc_id"].to_numpy()), np.searchsorted(names, rows["term"].to_numpy().view(np.uint64))
+    order = np.lexsort((term, row))
+    vectors = weigh(row[order], term[order], rows["n"].to_numpy()[order], n, idf)
     share = {c: sizes.get(c, 0) / max(1, (toxic == c).sum()) for c in (0, 1)}  # labelled rows that an example of a class stands for
-    return Model(names, idf, weigh(counts, idf), [r.doc_id for r in examples], toxic, np.where(toxic > 0, share[1], share[0]), neighbours)
+    return Model(names, idf, vectors, ids.tolist(), toxic, np.where(toxic > 0, share[1], share[0]), neighbours)
 
 
 def score(docs: DataFrame, model: Model, *, evidence: int = 3) -> DataFrame:
     """doc_id, score, predicted, evidence (doc_id, cosine, toxic of the nearest examples) of every text of docs.
 
     A text without any of the model's terms, null and empty ones among them, scores
-    what the sample's texts without any do.  Rows stay rows.
+    what the sample's texts without any do.  Rows stay rows, repeated ones too, very
+    long texts count whole, and of an empty table nothing comes.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
@@ -200,7 +291,7 @@ def score(docs: DataFrame, model: Model, *, evidence: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 << 20):
                 p, where, cosine = m.score(m.vectors(Words(part.column(1), bare=True)))
                 near = [[{"doc_id": m.ids[i], "cosine": float(c), "toxic": int(m.toxic[i])} for i, c in zip(a[:evidence], b[:evidence], strict=True) if i >= 0] for a, b in zip(where, cosine, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array(near, kind)], ["doc_id", "score", "predicted", "evidence"])
@@ -229,7 +320,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, 2 << 20):
                 p, _, _ = m.score(m.vectors(Words(part.column(at), bare=True)))
                 yield part.filter(pa.array(p < 0.5))
 

@@ -37,18 +37,25 @@ def test_mix_keeps_all_and_meets_quotas(spark):
     rows = [(k, " ".join(["w"] * rng.randrange(1, 30)), "big" if k % 10 else f"small{k % 3}") for k in range(600)] + [(900, None, None), (901, "", "none"), (1, "w w", "big"), (1, "w w", "big")]
     df = docs(spark, rows).withColumn("tokens", F.lit(0)).withColumn("left", F.lit(0)).withColumn("rest", F.lit(0))
     out = mixing.copies(df).collect()
-    assert len(out) == len(rows) and min(r["__copies"] for r in out) >= 1
+    assert len(out) == len(rows) and min(r["mix_copies"] for r in out) >= 1
     totals, taken = Counter(), Counter()
     for r in out:
-        totals[r.source] += r["__tokens"]
-        taken[r.source] += r["__tokens"] * r["__copies"]
+        totals[r.source] += r["mix_tokens"]
+        taken[r.source] += r["mix_tokens"] * r["mix_copies"]
     names = sorted((s for s in totals), key=lambda s: "" if s is None else "=" + s)
     _, _, want = mixing.quotas([totals[s] for s in names], entropy_share=0.95, most_passes=2.0)
     assert all(q - 30 <= taken[s] <= q for s, q in zip(names, want, strict=True) if totals[s])
-    assert mixing.mix(df).columns == df.columns and mixing.mix(df).count() == sum(r["__copies"] for r in out)
+    assert mixing.mix(df).columns == df.columns and mixing.mix(df).count() == sum(r["mix_copies"] for r in out)
     assert mixing.copies(docs(spark, [])).count() == 0
-    with pytest.raises(ValueError, match="in use"):
-        mixing.copies(df.withColumn("__copies", F.lit(1)))
+    clash = df.withColumn("mix_copies", F.lit("own"))
+    out = mixing.copies(clash)
+    assert out.columns == [*clash.columns, "mix_source", "mix_tokens", "mix_weight", "mix_copies_"] and {r[0] for r in out.select("mix_copies").collect()} == {"own"}
+
+
+def test_quotas_of_many_sources_are_those_of_each():
+    one = mixing.quotas([10, 10, 10, 500, 500, 9_000], entropy_share=0.9, most_passes=3.0)
+    many = mixing.quotas([10, 500, 9_000], entropy_share=0.9, most_passes=3.0, times=[3, 2, 1])
+    assert many[0] == pytest.approx(one[0]) and many[2] == [one[2][k] for k in (0, 3, 5)]
 
 
 def tokens(text):
@@ -68,16 +75,43 @@ def test_base_scores_equal_brute_force(spark, monkeypatch):
     got = sorted((r.n_tokens, r.n_known, round(r.base_score, 6), r.score < 0) for r in bloomlm.score(docs(spark, rows), model, table).collect())
     base = lambda t: sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
     assert got == sorted((len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), round(base(t), 6), True) for _, t, _ in rows)
+    # the model's score against the same model with a dictionary's exact counts, and with the filter left in its segments
+    def model_score(text, words, both, texts):
+        before, total = None, 0.0
+        for w in tokens(text):
+            c = texts if before is None and total == 0.0 else words[before]
+            p = (words[w] + 0.1) / (n + 0.1 * (v + 1))
+            total += math.log10((both[before if total else "start", w] + bloomlm.PRIOR * p) / (c + bloomlm.PRIOR))
+            before = w
+        return total
+
+    pairs = Counter(x for r in train for x in zip(["start", *tokens(r[1])], tokens(r[1]), strict=False))
+    by = lambda s: sorted((str(r.doc_id), r.n_tokens, r.score) for r in s.collect())
+    sent = by(bloomlm.score(docs(spark, rows), model, table))
+    monkeypatch.setattr(bloomlm, "BROADCAST", 0)
+    apart = by(bloomlm.score(docs(spark, rows), model, table))
+    assert [x[:2] for x in sent] == [x[:2] for x in apart] and [x[2] for x in sent] == pytest.approx([x[2] for x in apart])
+    exact = sorted((str(i), len(tokens(t)), model_score(t, counts, pairs, len(train))) for i, t, _ in rows)
+    assert all(abs(a[2] - b[2]) <= 0.2 * a[1] for a, b in zip(sent, exact, strict=True)) and abs(sum(a[2] - b[2] for a, b in zip(sent, exact, strict=True))) < 0.06 * sum(a[1] for a in sent)
     empty, none = bloomlm.train(docs(spark, []))
     assert bloomlm.score(docs(spark, rows[:1]), empty, none).first().n_known == 0
 
 
+def test_documents_that_occur_twice_score_apart(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(300)]
+    rows = [(k, t, "s") for k, t in enumerate(texts + texts[:30])]
+    model, table = bloomlm.train(docs(spark, rows))
+    got = {r.doc_id: r.score - r.base_score for r in bloomlm.score(docs(spark, rows), model, table).collect()}
+    assert min(got[k] for k in range(30)) > max(got[k] for k in range(30, 300))
+
+
 def test_bloom_levels():
     rng = np.random.default_rng(0)
     h = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
-    counts = rng.integers(1, 5_000, len(h))
-    f = bloomlm.LogBloom(bloomlm.fill(1 << 22, h, counts, 2.0), 1)
-    levels = bloomlm.LogBloom.level(counts, 2.0)
+    levels = bloomlm.LogBloom.level(rng.integers(1, 5_000, len(h)), 2.0)
+    f = bloomlm.one_segment(bloomlm.fill(h, levels))
     got = f.levels(h)
     assert (got >= levels).all() and (got == levels).mean() > 0.95
     assert (f.levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
@@ -111,14 +145,25 @@ def test_neighbours_against_brute_force(spark):
 
 def test_block_max_equals_a_full_scan():
     rng = np.random.default_rng(2)
-    x = toxicity.weigh((rng.random((700, 40)) < 0.08) * rng.integers(1, 4, (700, 40)), rng.random(40) + 0.5)
-    q = np.vstack([x[:150], np.zeros((1, 40))])
-    where, cosine = toxicity.BlockMaxIndex(x, 32).search(q, 9)
-    s = (q @ x.T).round(12)
-    for k in range(len(q)):
-        want = [i for i in np.lexsort((np.arange(700), -s[k]))[:9] if s[k, i] > 0]
-        assert where[k][: len(want)].tolist() == want and (where[k][len(want) :] == -1).all()
-        assert np.allclose(cosine[k][: len(want)], s[k, want])
+    counts = (rng.random((700, 40)) < 0.08) * rng.integers(1, 4, (700, 40))
+    idf = rng.random(40) + 0.5
+    rows, terms = np.nonzero(counts)
+    vectors = toxicity.weigh(rows, terms, counts[rows, terms], 700, idf)
+    x = np.where(counts > 0, (1 + np.log(np.maximum(counts, 1))) * idf, 0)
+    x /= np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)
+    index = toxicity.BlockMaxIndex(vectors, 32)
+    asked = np.append(np.arange(150), np.flatnonzero(~counts.any(1))[:1])
+    for skip in (None, asked):
+        index.scored = 0
+        where, cosine = index.search(vectors.take(asked), 9, skip)
+        s = (x[asked] @ x.T).round(12)
+        if skip is not None:
+            s[np.arange(len(asked)), asked] = 0
+        for k in range(len(asked)):
+            want = [i for i in np.lexsort((np.arange(700), -s[k]))[:9] if s[k, i] > 0]
+            assert where[k][: len(want)].tolist() == want and (where[k][len(want) :] == -1).all()
+            assert np.allclose(cosine[k][: len(want)], s[k, want])
+    assert index.scored < sum(((x[:, terms[rows == k]] > 0).sum() for k in asked))  # blocks are passed over
 
 
 def toxic_rows(n=400):

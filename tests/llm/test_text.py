@@ -38,6 +38,33 @@ def test_phrase_counts_equal_search():
     assert got[:, 0].tolist() == [phrases(t, sample) for t in texts]
 
 
+def test_blocks_each_start_a_phrase():
+    rng = random.Random(3)
+    sample = "".join(rng.choice("abc d") for _ in range(400))
+    squeezed = __import__("re").sub(" +", " ", sample)
+    texts = ["".join(rng.choice("abcd") for _ in range(n)) for n in (0, 63, 64, 65, 300)]
+    got, _, _ = langid.phrase_counts(texts, (("x", sample),), 64)
+    assert got[:, 0].tolist() == [sum(phrases(t[k : k + 64], squeezed) for k in range(0, len(t), 64)) for t in texts]
+
+
+def test_a_small_language_and_many_letters(spark):
+    rng = random.Random(6)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    # half of the letters are common to both; one language has a tenth of the other's text
+    train = [(k, make("abcdefgh", 300), "big") for k in range(20)] + [(50 + k, make("efghijkl", 60), "small") for k in range(10)]
+    model = langid.learn(docs(spark, train))
+    rows = [(k, make("abcdefgh", 60), None) for k in range(60)] + [(100 + k, make("efghijkl", 60), None) for k in range(60)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, rows), model).collect()}
+    assert sum(got[i] == ("big" if i < 100 else "small") for i in got) >= 118
+    # two languages whose words differ, over the same 3,000 letters
+    han = [chr(0x4E00 + k) for k in range(3_000)]
+    words = [[ "".join(rng.choice(han) for _ in range(3)) for _ in range(800)] for _ in range(2)]
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    model = langid.learn(docs(spark, [(10 * k + n, text(k, 900), f"l{k}") for k in range(2) for n in range(6)]))
+    rows = [(100 * k + n, text(k, 40), None) for k in range(2) for n in range(20)]
+    assert all(r.lang_pred == f"l{r.doc_id // 100}" for r in langid.identify(docs(spark, rows), model).collect())
+
+
 def test_language_of_odd_rows(spark):
     train = docs(spark, [(i, "the cat sat on the mat and the dog", "en") for i in range(3)] + [(9, "der hund und die katze sind im haus", "de"), (10, None, "fr"), (11, "x", None)])
     model = langid.learn(train)
@@ -116,7 +143,26 @@ def test_sketches():
     assert c.likeness(a) < 0.05 and empty.likeness(empty) == 1 and empty.likeness(a) == 0
     both = sketch.sketches([long + " \n" + part])[0]
     assert b.merge(a).containment(both) == pytest.approx(1, abs=0.02)
-    assert sketch.Sketch.parse(a.text()).likeness(a) == 1
+    assert sketch.Sketch.parse(a.text()).likeness(a) == 1 and len(b.values) == pytest.approx(1_000, abs=120)
+
+
+def test_likeness_is_near_exact_containment(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3_000)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.choice((3, 8, 40, 200, 2_000)))), None) for k in range(60)] + [(70, "one two", None), (71, "one two", None), (72, "three", None)]
+
+    def exact(a, b):
+        x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (a.lower().split(), b.lower().split()))
+        return max(len(x & y) / len(x), len(x & y) / len(y)) if x and y else float(x == y)
+
+    order = sorted(rows, reverse=True)
+    errors = []
+    for k, r in enumerate(sorted(sketch.compare_with_edits(docs(spark, rows)).collect(), key=lambda r: -r.doc_id)):
+        text, then = order[k][1], order[(k + 1) % len(order)][1]
+        new = sketch.edited(text, then)
+        assert r.n_chars == len(text) and (r.near_edited == 1 if text == new else True) and (r.near_next == 1) == (text == then)
+        errors += [(abs(r.near_edited - exact(text, new)), len(text)), (abs(r.near_next - exact(text, then)), len(text))]
+    assert max(e for e, n in errors if n > 800) < 0.13 and sum(e for e, n in errors if n > 100) / len(errors) < 0.04
 
 
 def test_next_documents_and_edits(spark):
@@ -191,3 +237,9 @@ def test_chat_text_that_ends_in_marks(spark):
     assert [(t.role, t.text) for t in out.turns] == [r[2:] for r in rows]
     learned = [__import__("re").sub(r"(?s)\\(.)", r"\1", out.formatted[s.start : s.start + s.length]) for s in out.loss]
     assert learned == texts
+
+
+def test_escaping_everything_is_faithful(spark):
+    df = spark.createDataFrame([(r, t) for t in HARD + ["###", "x ###"] for r in ("user", "a: b", "### ", "\\", "###", "</turn>")], "role string, text string")
+    r, t = F.col("role"), F.col("text")
+    assert df.where(chat.faithful(chat.render(chat.escape_all(r), chat.escape_all(t)), r, t)).count() == df.count()
