@@ -1,12 +1,11 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch retains every five-word shingle whose hash lies below ``1 / SCALE`` of
-the range, so it grows with its document, and the sketch of a union is the union
-of the sketches below the same bound.  That lets a page be compared with a book:
-containment is estimated on the hashes below the bound that both sketches hold.
-So that a short text isn't left without any, a sketch also holds at least its
-``LEAST`` smallest hashes; its bound is then the largest of them, and that of a
-text with fewer shingles is the whole range.  Comparisons take the smaller bound.
+A sketch retains every five-word shingle whose hash lies below ``1 / SCALE`` of the
+range: the same bound for every text, so a sketch grows with its document, that of a
+union is the union of the sketches, and containment is estimated on what is retained
+even where a page is compared with a book.  A retained hash is kept as its 32 bits
+below the bound.  Beside them stands the sum of all shingles' hashes, which tells
+texts apart of which nothing was retained, as may happen to very short ones.
 """
 
 from __future__ import annotations
@@ -22,59 +21,55 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Words, partitions, shingles
 
-SIZE, SCALE, LEAST = 5, 8, 64
+#: One shingle in SCALE is retained.
+SIZE, SCALE = 5, 2
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Sketch:
-    """Sorted distinct hashes up to bound, all that the text has there."""
+    """Sorted distinct 32-bit values of the hashes below the bound, and the sum of all hashes (0 for no shingles, or after merging)."""
 
-    def __init__(self, hashes: np.ndarray, bound: int):
-        self.hashes, self.bound = hashes, np.uint64(bound)
+    def __init__(self, values: np.ndarray, total: int = 0):
+        self.values, self.total = values, total
 
     @classmethod
-    def of(cls, hashes: np.ndarray, scale: int = SCALE, least: int = LEAST) -> Sketch:
-        limit = np.uint64(int(_TOP) // scale)
-        low = np.unique(hashes[hashes <= limit])
-        if len(low) >= least:
-            return cls(low, limit)
+    def of(cls, hashes: np.ndarray, scale: int = SCALE) -> Sketch:
         every = np.unique(hashes)
-        return cls(every, _TOP) if len(every) <= least else cls(every[:least], every[least - 1])
+        bound = np.uint64(int(_TOP) // scale)
+        # the 32 bits below the bound's own leading zeros
+        low = (every[every <= bound] >> np.uint64(bound.item().bit_length() - 32)).astype(np.uint32)
+        return cls(np.unique(low), int(every.sum(dtype=np.uint64)))
 
     def merge(self, other: Sketch) -> Sketch:
         """The sketch of both texts together."""
-        bound = min(self.bound, other.bound)
-        both = np.union1d(self.hashes, other.hashes)
-        return Sketch(both[both <= bound], bound)
+        return Sketch(np.union1d(self.values, other.values))
 
     def containment(self, other: Sketch) -> float:
-        """The estimated share of this text's shingles that the other has, 0 to 1; of an empty text, 1 if both are."""
-        bound = min(self.bound, other.bound)
-        mine, others = self.hashes[self.hashes <= bound], other.hashes[other.hashes <= bound]
-        if not len(mine):
-            return float(not len(others) and self.bound == other.bound)
-        return float(np.isin(mine, others, assume_unique=True).mean())
+        """The estimated share of this text's shingles that the other has, 0 to 1; where nothing is retained, whether all shingles are the same."""
+        if not len(self.values):
+            return float(not len(other.values) and self.total == other.total)
+        return float(np.isin(self.values, other.values, assume_unique=True).mean())
 
     def likeness(self, other: Sketch) -> float:
-        """The larger containment of the two; an empty text is like an empty text only."""
-        if not len(self.hashes) or not len(other.hashes):
-            return float(len(self.hashes) == len(other.hashes))
+        """The larger containment of the two; where either retains nothing, whether both have the same shingles."""
+        if not len(self.values) or not len(other.values):
+            return float(len(self.values) == len(other.values) and self.total == other.total)
         return max(self.containment(other), other.containment(self))
 
     def text(self) -> str:
-        """The bound and the hashes, in base64."""
-        return base64.b64encode(np.concatenate([[self.bound], self.hashes]).astype("<u8").tobytes()).decode()
+        """The sum and the values, in base64."""
+        return base64.b64encode(np.array([self.total], "<u8").tobytes() + self.values.astype("<u4").tobytes()).decode()
 
     @classmethod
     def parse(cls, text: str) -> Sketch:
-        values = np.frombuffer(base64.b64decode(text), "<u8")
-        return cls(values[1:], values[0])
+        data = base64.b64decode(text)
+        return cls(np.frombuffer(data, "<u4", offset=8), int(np.frombuffer(data[:8], "<u8")[0]))
 
 
-def sketches(texts: list[str], size: int = SIZE, scale: int = SCALE, least: int = LEAST) -> list[Sketch]:
+def sketches(texts: list[str], size: int = SIZE, scale: int = SCALE) -> list[Sketch]:
     words = Words(pa.array(texts, pa.large_string()))
     hashes, first = shingles(words, words.hashes(), size)
-    return [Sketch.of(hashes[a:b], scale, least) for a, b in zip(first, first[1:], strict=False)]
+    return [Sketch.of(hashes[a:b], scale) for a, b in zip(first, first[1:], strict=False)]
 
 
 def with_next(docs: DataFrame, *, rows_per_block: int = 2_000) -> DataFrame:
@@ -111,11 +106,12 @@ def edited(text: str, then: str) -> str:
     return text[: len(text) - half] + then[:half]
 
 
-def compare_with_edits(docs: DataFrame, *, size: int = SIZE, scale: int = SCALE, least: int = LEAST) -> DataFrame:
+def compare_with_edits(docs: DataFrame, *, size: int = SIZE, scale: int = SCALE) -> DataFrame:
     """The fingerprint of every text and of its edited text, and how alike they are.
 
     Rows stay rows; a null text counts as empty, and of an empty table nothing
-    comes.  near_edited and near_next are the larger containment, 0 to 1.
+    comes.  near_edited and near_next are the larger containment, 0 to 1, of equal
+    texts 1.  Texts of any length count whole; further columns play no part.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_retained long"
 
@@ -126,7 +122,7 @@ def compare_with_edits(docs: DataFrame, *, size: int = SIZE, scale: int = SCALE,
                 part = batch.slice(at, 256)
                 texts, then = part.column(1).to_pylist(), [t or "" for t in part.column(2).to_pylist()]
                 new = [edited(a, b) for a, b in zip(texts, then, strict=True)]
-                mine, theirs, others = (sketches(x, size, scale, least) for x in (texts, new, then))
+                mine, theirs, others = (sketches(x, size, scale) for x in (texts, new, then))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -136,7 +132,7 @@ def compare_with_edits(docs: DataFrame, *, size: int = SIZE, scale: int = SCALE,
                         pa.array([s.text() for s in theirs], pa.string()),
                         pa.array([a.likeness(b) for a, b in zip(mine, theirs, strict=True)], pa.float64()),
                         pa.array([a.likeness(b) for a, b in zip(mine, others, strict=True)], pa.float64()),
-                        pa.array([len(s.hashes) for s in mine], pa.int64()),
+                        pa.array([len(s.values) for s in mine], pa.int64()),
                     ],
                     names,
                 )
