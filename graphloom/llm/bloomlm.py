@@ -2,14 +2,20 @@
 
 The filter holds, for each n-gram, its count on a logarithmic scale: an n-gram of
 level q is entered as (n-gram, 1) to (n-gram, q), so its level is found by probing
-1, 2, ... until a probe fails, and an error can only raise a level.  Words and
-pairs of words are in it.  It has a fixed number of bits, which bounds what is
-sent to the workers; each of its segments takes the n-grams of a range of hashes,
-the most frequent first, until it holds as many levels as its bits bear.
+1, 2, ... until a probe fails, and an error can only raise a level.  All words and
+all pairs of words of the training texts are in it.  It is cut into segments by
+hash, each as large as its entries need, so it grows with the corpus.
 
 Counting is exact and distributed: batches reduce their tokens to distinct hashes,
-which Spark sums by hash.  Counts of pairs are packed by range of hashes, so each
-range is counted, and its segment built, in a task of its own.
+packed by segment, and each segment is counted and built in a task of its own; there
+are so many segments that one has a bounded number of tokens.  A filter of up to
+``BROADCAST`` bytes is sent to the workers.  A larger one stays where it is, and the
+n-grams of slices of documents are sent to its segments; the levels, and with them
+the scores, are the same either way.
+
+The model is a word-pair model whose prior is the word model: p(w | u) is
+(c(u w) + PRIOR p(w)) / (c(u) + PRIOR), and p(w) the base score's.  With exact counts
+its probabilities add up to one.
 
 Beside the model's score stands the base score, from exact counts: the commonest
 words' counts are sent along (a bounded number), the counts of all other words are
@@ -28,28 +34,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Words, fold, mix, partitions, slices, stage
+from graphloom.llm.common import Words, fold, mix, release, slices, stage
 
-#: Bits of the two filters, probes per entry, and bits that an entry needs.
-PAIR_BITS, WORD_BITS, PROBES, PER_ENTRY = 1 << 27, 1 << 25, 4, 10
+#: Probes per entry, and bits that an entry needs.
+PROBES, PER_ENTRY = 4, 10
+#: Tokens that a segment gets, about, at most.
+PER_SEGMENT = 1 << 21
+#: Bytes of a filter that is sent to the workers, at most.
+BROADCAST = 64 << 20
 #: Words whose counts are sent to the workers, at most.
 COMMON = 400_000
-#: Weight of the pair model.
-PAIRED = 0.2
+#: How many observations the word model counts for.
+PRIOR = 4.0
+#: What a level multiplies a count by: words (0) and pairs (1).
+BASES = (math.sqrt(2), 2.0)
 #: Stand-ins for the start and the end of a text.
-START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
+START, END, WORD = np.uint64(0x5354415254), np.uint64(0x454E44), np.uint64(0x574F5244)
 
 
 class LogBloom:
-    """Quantised counts of hashed n-grams in a bit array cut into segments by hash."""
-
-    def __init__(self, bits: np.ndarray, segments: int):
-        self.bits, self.segments = bits, segments
-        self.size = len(bits) * 8 // segments  # bits of a segment
+    """Quantised counts of hashed n-grams in a bit array, cut by hash into segments that begin at edges (in bits)."""
 
-    @classmethod
-    def empty(cls, bits: int, segments: int = 1) -> LogBloom:
-        return cls(np.zeros(bits // 8, np.uint8), segments)
+    def __init__(self, bits: np.ndarray, edges: np.ndarray):
+        self.bits, self.begin, self.size = bits, edges[:-1].astype(np.uint64), np.diff(edges).astype(np.uint64)
 
     @staticmethod
     def level(counts: np.ndarray, base: float) -> np.ndarray:
@@ -61,13 +68,13 @@ class LogBloom:
         """The count that stands for each level, 0 for level 0."""
         return np.where(levels > 0, np.sqrt(base ** np.maximum(levels - 1, 0) * np.maximum(1.0, base**levels - 1)), 0)
 
-    def places(self, hashes: np.ndarray, level: np.ndarray | int) -> Iterator[np.ndarray]:
-        h = mix(hashes + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64))
+    def places(self, hashes: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        h = mix(hashes + np.uint64(0x9E3779B97F4A7C15 * level % (1 << 64)))
         step = (h >> np.uint64(32)) | np.uint64(1)
-        # the top bits of the n-gram's own hash choose its segment
-        segment = (hashes >> np.uint64(40)) * np.uint64(self.segments) >> np.uint64(24)
+        segment = segment_of(hashes, len(self.size))
+        begin, size = self.begin[segment], self.size[segment]
         for k in range(PROBES):
-            yield segment * np.uint64(self.size) + (h + np.uint64(k) * step) % np.uint64(self.size)
+            yield begin + (h + np.uint64(k) * step) % size
 
     def add(self, hashes: np.ndarray, levels: np.ndarray) -> None:
         for q in range(1, int(levels.max(initial=0)) + 1):
@@ -87,14 +94,21 @@ class LogBloom:
         return out
 
 
-def fill(bits: int, hashes: np.ndarray, counts: np.ndarray, base: float) -> np.ndarray:
-    """The bytes of a segment with the n-grams of highest count that it bears."""
-    filter_ = LogBloom.empty(bits)
-    levels = LogBloom.level(counts, base)
-    order = np.lexsort((hashes, -counts))
-    kept = order[np.cumsum(levels[order]) * PER_ENTRY <= bits]
-    filter_.add(hashes[kept], levels[kept])
-    return filter_.bits
+def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each n-gram, by the top bits of its hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+
+
+def one_segment(bits: np.ndarray) -> LogBloom:
+    """A segment by itself; probes of n-grams of that segment go to the same places as in the whole."""
+    return LogBloom(bits, np.array([0, 8 * len(bits)]))
+
+
+def fill(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The bytes of a segment with these n-grams, as many as they need."""
+    out = one_segment(np.zeros(max(8, -(-int(levels.sum()) * PER_ENTRY // 8)), np.uint8))
+    out.add(hashes, levels)
+    return out.bits
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,57 +137,68 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], ["h", "c"])
 
 
-def _pack_pairs(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, 0):
-            found, counts = np.unique(pairs(*tokens(part.column(0))), return_counts=True)
-            edges = np.searchsorted(((found >> np.uint64(40)) * np.uint64(segments) >> np.uint64(24)).astype(np.int64), np.arange(segments + 1))
-            blobs = [found[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-            sums = [np.minimum(counts[a:b], 1 << 31).astype(np.uint32).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-            filled = [k for k in range(segments) if blobs[k]]
-            for at in range(0, len(filled), 64):
-                some = filled[at : at + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blobs[k] for k in some], pa.binary()), pa.array([sums[k] for k in some], pa.binary())], ["segment", "hashes", "counts"])
-
-
-def _build_segment(table: pa.Table, bits: int) -> pa.Table:
-    hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["hashes"]])
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]]).astype(np.int64)
-    found, back = np.unique(hashes, return_inverse=True)
-    total = np.bincount(back, counts).astype(np.int64)
-    often = total >= 2  # a pair seen once says nothing that its words don't
-    return pa.table({"segment": pa.array([table["segment"][0].as_py()], pa.int32()), "bits": pa.array([fill(bits, found[often], total[often], 2.0).tobytes()], pa.binary()), "n_pairs": pa.array([len(found)], pa.int64())})
+def _packed(hashes: np.ndarray, counts: np.ndarray, segments: int, kind: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (segment, kind, hashes, counts) of sorted hashes; segments are ranges of hashes."""
+    edges = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
+    filled = np.flatnonzero(np.diff(edges))
+    wide = np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+    for at in range(0, len(filled), 1_024):
+        some = filled[at : at + 1_024]
+        blobs = [[x[edges[k] : edges[k + 1]].tobytes() for k in some] for x in (hashes, wide)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), *[pa.array(x, pa.binary()) for x in blobs]], ["segment", "kind", "hashes", "counts"])
+
+
+def _build_segment(table: pa.Table) -> pa.Table:
+    kinds, hashes, levels = table["kind"].to_numpy(), [], []
+    for kind, base in enumerate(BASES):
+        mine = table.filter(pa.array(kinds == kind))
+        if mine.num_rows:
+            each = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in mine["hashes"]])
+            found, back = np.unique(each, return_inverse=True)
+            hashes.append(found)
+            levels.append(LogBloom.level(np.bincount(back, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in mine["counts"]])), base))
+    bits = fill(np.concatenate(hashes), np.concatenate(levels))
+    return pa.table({"segment": pa.array([table["segment"][0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary()), "size": pa.array([len(bits)], pa.int64())})
+
+
+class Grams:
+    """The distinct words and pairs of some texts, and the keys by which the filter has them: words first."""
+
+    def __init__(self, hashes: np.ndarray, first: np.ndarray):
+        self.words, self.word = np.unique(hashes, return_inverse=True)
+        both, self.pair = np.unique(pairs(hashes, first), return_inverse=True)
+        self.keys = np.concatenate([mix(self.words ^ WORD), both])
+        self.first = first
+
+    def log10(self, levels: np.ndarray, norm: float) -> np.ndarray:
+        """The log10 probability of each token after the one before it, from the levels of the keys."""
+        n = len(self.words)
+        alone, paired = LogBloom.count(levels[:n], BASES[0])[self.word], LogBloom.count(levels[n:], BASES[1])[self.pair]
+        before = np.concatenate([[0.0], alone[:-1]])
+        ends = np.searchsorted(self.words, END)
+        before[self.first[:-1]] = LogBloom.count(levels[ends : ends + 1], BASES[0])[0]  # texts start as often as they end
+        p = np.minimum(1.0, (alone + 0.1) / 10**norm)
+        return np.log10((np.minimum(paired, before) + PRIOR * p) / (before + PRIOR))
 
 
 class Model:
-    """The filters, the totals, and the counts of the commonest words."""
+    """The segments of the filter (segment, bits, size), the totals, and the counts of the commonest words."""
 
-    def __init__(self, words: LogBloom, pairs_: LogBloom, tokens_: int, types: int, common: np.ndarray, counts: np.ndarray):
-        self.words, self.pairs, self.n, self.v = words, pairs_, tokens_, types
+    def __init__(self, built: DataFrame, segments: int, tokens_: int, types: int, common: np.ndarray, counts: np.ndarray):
+        self.built, self.segments, self.n, self.v = built, segments, tokens_, types
         self.common, self.counts = common, counts
-        # what one of the other words, or a new one, is expected to weigh
-        self.rest = max(1.0, self.n - float(counts.sum())) / (self.v - len(common) + 1)
         self.norm = math.log10(self.n + 0.1 * (self.v + 1))
+        self.bytes = built.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
-    def word(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts of words as the filter has them; of those not in it, what is expected."""
-        levels = self.words.levels(hashes)
-        return np.where(levels > 0, LogBloom.count(levels, math.sqrt(2)), self.rest)
-
-    def log10(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The log10 probability of each token after the one before it."""
-        unique, back = np.unique(hashes, return_inverse=True)
-        alone = self.word(unique)
-        p = np.minimum(1.0, (alone[back] + 0.1) / 10**self.norm)
-        before = np.concatenate([[np.nan], alone[back][:-1]])
-        before[first[:-1]] = self.word(np.array([END]))[0]  # texts start as often as they end
-        seen = LogBloom.count(self.pairs.levels(pairs(hashes, first)), 2.0)
-        return np.log10(PAIRED * np.minimum(1.0, seen / np.maximum(before, 1.0)) + (1 - PAIRED) * p)
+    def whole(self) -> LogBloom:
+        """The filter in one piece."""
+        rows = {r.segment: r.bits for r in self.built.select("segment", "bits").collect()}
+        parts = [np.frombuffer(rows.get(k, bytes(8)), np.uint8) for k in range(self.segments)]
+        return LogBloom(np.concatenate(parts), 8 * np.concatenate([[0], np.cumsum([len(x) for x in parts])]))
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the texts of docs, and the counts (h, c) of all their tokens; null texts count as empty."""
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = stage(texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -187,61 +212,119 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     common, often = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(common)
     common, often = common[order], often[order]
-    words = LogBloom(fill(WORD_BITS, common, often, math.sqrt(2)), 1)
-    segments = min(1 << 14, max(256, 1 << (4 * partitions(spark) - 1).bit_length()))
-    size = PAIR_BITS // segments
+    segments = max(64, 1 << max(0, int(n) // PER_SEGMENT).bit_length())
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pack_pairs(batches, segments)
-
-    def build(table: pa.Table) -> pa.Table:
-        return _build_segment(table, size)
+    def pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                yield from _packed(*np.unique(pairs(*tokens(part.column(0))), return_counts=True), segments, 1)
 
-    packed = texts.mapInArrow(pack, "segment int, hashes binary, counts binary")
-    built = packed.groupBy("segment").applyInArrow(build, "segment int, bits binary, n_pairs long").collect()
-    bits = np.zeros(PAIR_BITS // 8, np.uint8)
-    for r in built:  # as many bits as the filter has, whatever the corpus
-        bits[r.segment * size // 8 : (r.segment + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
-    return Model(words, LogBloom(bits, segments), int(n), int(v), common, often), counts
+    def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = mix(batch.column(0).to_numpy().view(np.uint64) ^ WORD)
+            order = np.argsort(keys)
+            yield from _packed(keys[order], batch.column(1).to_numpy()[order], segments, 0)
+
+    schema = "segment int, kind int, hashes binary, counts binary"
+    packed = texts.mapInArrow(pack_pairs, schema).unionByName(counts.mapInArrow(pack_words, schema))
+    built = stage(packed.groupBy("segment").applyInArrow(_build_segment, "segment int, bits binary, size long"))
+    return Model(built, segments, int(n), int(v), common, often), counts
+
+
+_SEEN = "row long, doc_id long, n_tokens long, n_common long, base double, score double, rare array<long>, times array<long>"
+
+
+def _scored(row: int, ids: pa.Array, hashes: np.ndarray, first: np.ndarray, chances: np.ndarray, common: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """What is known of texts without the counts of rarer words, and the words of which these are needed."""
+    n = len(ids)
+    doc = np.repeat(np.arange(n), np.diff(first))
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    known = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
+    base = np.where(known, np.log10((counts[at] if len(common) else 0) + 0.1), 0)
+    rare = [np.unique(x[k], return_counts=True) for x, k in zip(np.split(hashes, first[1:-1]), np.split(~known, first[1:-1]), strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(row + np.arange(n)),
+            ids,
+            pa.array(np.diff(first)),
+            pa.array(np.bincount(doc, known, n).astype(np.int64)),
+            pa.array(np.bincount(doc, base, n)),
+            pa.array(np.bincount(doc, chances, n)),
+            pa.array([x[0].view(np.int64) for x in rare], pa.list_(pa.int64())),
+            pa.array([x[1] for x in rare], pa.list_(pa.int64())),
+        ],
+        [f.split()[0] for f in _SEEN.split(", ")],
+    )
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every text of docs.
-
-    A null text counts as empty and has its end token alone.  Rows stay rows.  With
-    nothing learned, n_known is 0 and both scores are those of V = N = 0.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "row long, doc_id long, n_tokens long, n_common long, base double, score double, rare array<long>, times array<long>"
+def _seen_by_broadcast(texts: DataFrame, model: Model) -> DataFrame:
+    """_SEEN of texts (doc_id, text), where the filter is sent to the workers."""
+    sent = texts.sparkSession.sparkContext.broadcast((model.whole(), model.norm, model.common, model.counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, row = sent.value, TaskContext.get().partitionId() << 40
+        (bloom, norm, *common), row = sent.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, 1):
                 hashes, first = tokens(part.column(1))
-                n = part.num_rows
-                doc = np.repeat(np.arange(n), np.diff(first))
-                at = np.minimum(np.searchsorted(m.common, hashes), max(0, len(m.common) - 1))
-                known = m.common[at] == hashes if len(m.common) else np.zeros(len(hashes), bool)
-                base = np.where(known, np.log10((m.counts[at] if len(m.common) else 0) + 0.1), 0)
-                total = np.bincount(doc, m.log10(hashes, first), n)
-                rare = [np.unique(x[k], return_counts=True) for x, k in zip(np.split(hashes, first[1:-1]), np.split(~known, first[1:-1]), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row + np.arange(n)),
-                        part.column(0),
-                        pa.array(np.diff(first)),
-                        pa.array(np.bincount(doc, known, n).astype(np.int64)),
-                        pa.array(np.bincount(doc, base, n)),
-                        pa.array(total),
-                        pa.array([x[0].view(np.int64) for x in rare], pa.list_(pa.int64())),
-                        pa.array([x[1] for x in rare], pa.list_(pa.int64())),
-                    ],
-                    [f.split()[0] for f in schema.split(", ")],
-                )
-                row += n
-
-    seen = stage(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema))
+                grams = Grams(hashes, first)
+                yield _scored(row, part.column(0), hashes, first, grams.log10(bloom.levels(grams.keys), norm), *common)
+                row += part.num_rows
+
+    return stage(texts.mapInArrow(run, _SEEN))
+
+
+def _seen_by_segment(texts: DataFrame, model: Model) -> DataFrame:
+    """_SEEN of texts (doc_id, text), where the n-grams of slices of texts go to the segments, and their levels come back."""
+    segments, norm = model.segments, model.norm
+    sent = texts.sparkSession.sparkContext.broadcast((model.common, model.counts))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in slices(batch, 1):
+                edges = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([row]), *[pa.ListArray.from_arrays(edges, part.column(k)) for k in (0, 1)]], ["slice", "ids", "texts"])
+                row += part.num_rows
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys = np.sort(Grams(*tokens(batch.column(2)[k].values)).keys)
+                for part in _packed(keys, np.zeros(0), segments, 0):
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(part.num_rows, batch.column(0)[k].as_py())), part.column(2)], ["segment", "slice", "hashes"])
+
+    def probe(asked: pa.Table, built: pa.Table) -> pa.Table:
+        bloom = one_segment(np.frombuffer(built["bits"][0].as_py(), np.uint8)) if built.num_rows else None
+        levels = [bloom.levels(h).astype(np.uint8).tobytes() if bloom else bytes(len(h)) for h in (np.frombuffer(x.as_py(), np.uint64) for x in asked["hashes"])]
+        return pa.table({"slice": asked["slice"], "segment": asked["segment"], "levels": pa.array(levels, pa.binary())})
+
+    def rate(given: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, column = given["ids"].combine_chunks().flatten(), given["texts"].combine_chunks().flatten()
+        hashes, first = tokens(column)
+        grams = Grams(hashes, first)
+        found = np.frombuffer(b"".join(answers.sort_by("segment")["levels"].to_pylist()), np.uint8)
+        levels = np.empty(len(found), np.int64)
+        levels[np.argsort(grams.keys, kind="stable")] = found
+        return pa.Table.from_batches([_scored(given["slice"][0].as_py(), ids, hashes, first, grams.log10(levels, norm), *sent.value)])
+
+    parts = stage(texts.mapInArrow(cut, "slice long, ids array<long>, texts array<string>"))
+    asked = parts.mapInArrow(ask, "segment int, slice long, hashes binary")
+    answers = asked.groupBy("segment").cogroup(model.built.groupBy("segment")).applyInArrow(probe, "slice long, segment int, levels binary")
+    out = stage(parts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(rate, _SEEN))
+    release(parts)
+    return out
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every text of docs.
+
+    A null text counts as empty and has its end token alone.  Rows stay rows,
+    repeated ones too; very long texts count whole, further columns play no part, and
+    of an empty table nothing comes.  With nothing learned, n_known is 0 and both
+    scores are those of V = N = 0.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    seen = (_seen_by_broadcast if model.bytes <= BROADCAST else _seen_by_segment)(texts, model)
     rest = seen.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     found = rest.join(counts, "h", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
     return seen.drop("rare", "times").join(found, "row", "left").select(
