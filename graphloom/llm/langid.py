@@ -2,8 +2,10 @@
 
 For every language a suffix automaton is built over a bounded sample of its
 labelled text.  A text is cut, greedily, into the longest phrases that occur in
-that sample; the number of phrases over the number of characters estimates the
-cross entropy, and the language that needs the fewest phrases wins.
+that sample.  Phrases grow with the logarithm of the sample they are looked up in, so
+their number is multiplied by it: the Ziv-Merhav estimate of the cross entropy, by
+which a language with little labelled text isn't at a loss.  The language that needs
+the fewest phrases, so normalised, wins.
 
 A suffix automaton recognises exactly the substrings of its text, so the longest
 match goes on as long as a transition exists.  The transitions are laid out as a
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import fold, slices
 
-#: Classes of characters: 0 pads, 1 is anything but a letter, 2 is a letter without a class of its own.
+#: Symbols: 0 pads, 1 is anything but a letter, 2 is a letter that no sample has.
 CLASSES = 128
+#: Symbols of one letter each where the samples have more letters than symbols; of the others, each is a pair of symbols.
+SINGLE = 64
 
 
 class SuffixAutomaton:
@@ -93,28 +97,54 @@ def squeeze(classes: np.ndarray) -> np.ndarray:
     return (classes != 1) | np.concatenate([[True], classes[:-1] != 1])
 
 
-@lru_cache(maxsize=4)
-def tables(model: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[np.ndarray], int]:
-    """The class of every code point, one transition table per language, and its width."""
-    texts = [codes(t) for _, t in model]
+def alphabet(samples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The symbol of every code point, a second one or 0, and the number of symbols rounded up to a power of two.
+
+    Every letter of the samples has a symbol, or a pair of symbols, of its own; up
+    to (CLASSES - 3 - SINGLE) * (CLASSES - 3) letters beyond the commonest can.
+    """
     alpha = letters()
-    of = np.where(alpha, 2, 1).astype(np.uint8)
-    every = np.concatenate([*texts, np.zeros(0, np.uint32)])
+    of, second = np.where(alpha, 2, 1).astype(np.uint8), np.zeros(len(alpha), np.uint8)
+    every = np.concatenate([*samples, np.zeros(0, np.uint32)])
     seen, counts = np.unique(every[alpha[every]], return_counts=True)
-    common = np.sort(seen[np.argsort(-counts, kind="stable")[: CLASSES - 3]])
-    of[common] = 3 + np.arange(len(common))
-    width = 1 << int(len(common) + 2).bit_length()
-    return of, [SuffixAutomaton(c[squeeze(c)].tolist()).table(width) for c in (of[t] for t in texts)], width
+    seen = seen[np.argsort(-counts, kind="stable")]
+    if len(seen) <= CLASSES - 3:
+        of[np.sort(seen)] = 3 + np.arange(len(seen))
+        return of, second, 1 << int(len(seen) + 2).bit_length()
+    of[seen[:SINGLE]] = 3 + np.arange(SINGLE)
+    rest = seen[SINGLE : SINGLE + (CLASSES - 3 - SINGLE) * (CLASSES - 3)]
+    of[rest] = 3 + SINGLE + np.arange(len(rest)) // (CLASSES - 3)
+    second[rest] = 3 + np.arange(len(rest)) % (CLASSES - 3)
+    return of, second, CLASSES
+
+
+def symbols(points: np.ndarray, of: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of code points, and which code point each begins at."""
+    one, two = of[points], second[points]
+    size = 1 + (two > 0)
+    first = np.concatenate([[0], np.cumsum(size)])
+    out = np.repeat(one, size)
+    out[first[:-1][two > 0] + 1] = two[two > 0]
+    return out, first
+
+
+@lru_cache(maxsize=4)
+def tables(model: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The symbols of every code point, one transition table per language, and the logarithm of each sample's length."""
+    samples = [codes(t) for _, t in model]
+    of, second, width = alphabet(samples)
+    written = [x[squeeze(x)] for x in (symbols(c, of, second)[0] for c in samples)]
+    return of, second, [SuffixAutomaton(x.tolist()).table(width) for x in written], np.array([np.log2(max(4, len(x))) for x in written])
 
 
 def phrase_counts(texts: list[str], model: tuple[tuple[str, str], ...], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases that each text needs under each language (texts by languages), and the characters that count.
+    """Phrases that each text needs under each language (texts by languages), the symbols that count, and whether there is a letter.
 
     Characters count in lower case, each run of anything but letters as one.
     """
-    of, automata, width = tables(model)
-    flat = of[codes("".join(texts))] if texts else np.zeros(0, np.uint8)
-    edges = np.concatenate([[0], np.cumsum([len(t.lower()) for t in texts])]).astype(np.int64)
+    of, second, automata, _ = tables(model)
+    flat, place = symbols(codes("".join(texts)), of, second) if texts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    edges = place[np.concatenate([[0], np.cumsum([len(t.lower()) for t in texts])]).astype(np.int64)]
     keep = squeeze(flat)
     keep[edges[:-1][edges[:-1] < len(flat)]] = True
     flat, edges = flat[keep], np.concatenate([[0], np.cumsum(keep)])[edges]
@@ -168,7 +198,8 @@ def identify(docs: DataFrame, model: tuple[tuple[str, str], ...], *, block: int
     ``und`` with score 0 where the text is null or has no letter, or nothing was
     learned; ties go to the language that sorts first.  The score is the margin of
     the winner over the next language, from 0 to 1 (1 where only one is known).
-    Rows stay rows: repeated rows give repeated results.
+    Rows stay rows: repeated rows give repeated results.  Very long texts count
+    whole, further columns play no part, and of an empty table nothing comes.
     """
     names = [name for name, _ in model]
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -178,8 +209,8 @@ def identify(docs: DataFrame, model: tuple[tuple[str, str], ...], *, block: int
             for part in slices(batch, 1, 16 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 counts, chars, lettered = phrase_counts(texts, sent.value, block)
-                counts = counts.astype(float)
                 if names:
+                    counts = counts * tables(sent.value)[3]
                     best = counts.argmin(1)
                     least = counts[np.arange(len(texts)), best]
                     counts[np.arange(len(texts)), best] = np.inf
