@@ -4,14 +4,15 @@ A turn is rendered as ``### role: text </turn>`` and a line end.  The grammar is
 deterministic: ``### `` begins a turn, the first ``: `` ends its role, and
 `` </turn>`` ends its text; a backslash stands before a character that is meant
 literally.  A turn is first rendered as it is and parsed again.  Where the parse
-doesn't give back the source, the role and the text are escaped and the parse is
-repeated; should that differ as well, the query fails rather than lose a turn.
+doesn't give back the source, the control strings in role and text are escaped and
+the parse is repeated; should that differ as well, every character that a control
+string can have is escaped, after which none is left to be mistaken.
 Everything is an expression of DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
@@ -31,6 +32,11 @@ def escape_role(role: Column) -> Column:
     return F.replace(escape(role), F.lit(": "), F.lit(":\\ "))
 
 
+def escape_all(text: Column) -> Column:
+    """text with a backslash inside every control string: before each mark, blank, slash and backslash."""
+    return F.regexp_replace(text, r"([\\# /])", r"\\$1")
+
+
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
@@ -65,24 +71,26 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     rows has conv_id, turn, role, text, in any order and with any further columns.
     Turns go by turn, then role and text; a null role or text counts as empty, a
-    null conv_id is a conversation of its own, and repeated rows are turns.  loss
+    null conv_id is a conversation of its own, and repeated rows are turns.  Very long
+    texts and conversations stay whole; of an empty table nothing comes.  loss
     marks the code points of formatted, from 0, that are an assistant's text.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    plain, escaped = render(F.col("role"), F.col("text")), render(escape_role(F.col("role")), escape(F.col("text")))
-    rows = rows.withColumn("plain", plain).withColumn("piece", F.when(faithful(F.col("plain"), F.col("role"), F.col("text")), F.col("plain")).otherwise(escaped))
-    lost = F.raise_error(F.concat(F.lit("a turn doesn't survive formatting: "), F.col("piece"))).cast("string")
-    rows = rows.withColumn("piece", F.when(faithful(F.col("piece"), F.col("role"), F.col("text")), F.col("piece")).otherwise(lost))
-    turns = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "role", "text", "piece")))
-    out = rows.groupBy("conv_id").agg(F.array_join(turns["piece"], "").alias("formatted"))
-    out = out.withColumn("turns", parse(F.col("formatted")))
-    # where each turn begins, in code points: running sums of what is written before it
-    role_chars = lambda t: F.length(F.when(faithful(render(t["role"], t["text"]), t["role"], t["text"]), t["role"]).otherwise(escape_role(t["role"])))
-    frame = len(OPEN) + len(MIDDLE)
-    step = lambda acc, t: F.struct((acc["at"] + F.lit(frame + len(CLOSE)) + role_chars(t) + t["n_chars"]).alias("at"), F.when(t["role"] == "assistant", F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.lit(frame) + role_chars(t)).alias("start"), t["n_chars"].alias("length"))))).otherwise(acc["spans"]).alias("spans"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    return out.withColumn("loss", F.aggregate("turns", start, step, lambda acc: acc["spans"]))
+    rows = rows.select("conv_id", F.coalesce("turn", F.lit(-(2**63))).alias("turn"), role.alias("role"), text.alias("text"))
+    pieces = [render(*x) for x in ((F.col("role"), F.col("text")), (escape_role(F.col("role")), escape(F.col("text"))), (escape_all(F.col("role")), escape_all(F.col("text"))))]
+    sound = [faithful(x, F.col("role"), F.col("text")) for x in pieces[:2]]
+    rows = rows.withColumn("piece", F.when(sound[0], pieces[0]).when(sound[1], pieces[1]).otherwise(pieces[2]))
+    # where each turn begins, in code points, before the turns are gathered
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    turn = parse(F.col("piece"))[0]
+    start = before + F.length("piece") - turn["n_chars"] - F.lit(len(CLOSE))
+    rows = rows.select("conv_id", "turn", "role", "text", "piece", start.cast("int").alias("start"), turn["n_chars"].alias("length"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "start", "length", "piece")))
+    out = rows.groupBy("conv_id").agg(turns.alias("given"))
+    learned = F.transform(F.filter("given", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"], t["length"]))
+    out = out.select("conv_id", F.array_join(F.col("given")["piece"], "").alias("formatted"), learned.alias("loss"))
+    return out.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), "loss")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -62,8 +62,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 class Pieces:
     """A SentencePiece BPE model with byte fallback, a dummy prefix and no normalisation."""
 
-    #: Units, and pairs of tokens, whose outcomes are kept; past that, all are forgotten.
-    UNITS, PAIRS = 500_000, 500_000
+    #: Units, and pairs of tokens, whose outcomes are kept; past that, all are forgotten.  Longer units than SHORT aren't kept.
+    UNITS, PAIRS, SHORT = 500_000, 500_000, 64
 
     def __init__(self, model: bytes):
         self.text, self.score, kinds = [], [], []
@@ -205,18 +205,22 @@ class Pieces:
         """The ids of a unit, each after a blank."""
         done = self.units.get(unit)
         if done is None:
+            done = "".join([f" {i}" for i in self.ids(unit)])
             if len(self.units) >= self.UNITS:
                 self.units.clear()
-            done = self.units[unit] = "".join([f" {i}" for i in self.ids(unit)])
+            if len(unit) <= self.SHORT:
+                self.units[unit] = done
         return done
 
     def part(self, word: str) -> str:
         """The ids of a word after a blank, or of what begins with a mark's stand-in; both may go on over line ends, which no piece holds."""
         if "\n" not in word:
+            mark = self.marks.get(word[:1])
+            done = "".join([f" {i}" for i in self.ids(mark + word[1:] if mark else BLANK + word)])
             if len(self.words) >= self.UNITS:
                 self.words.clear()
-            mark = self.marks.get(word[:1])
-            done = self.words[word] = "".join([f" {i}" for i in self.ids(mark + word[1:] if mark else BLANK + word)])
+            if len(word) <= self.SHORT:
+                self.words[word] = done
             return done
         first, *lines = word.split("\n")
         return (self.words.get(first) or self.part(first)) + "".join([self.newline + (line and self.written(line)) for line in lines])
@@ -261,8 +265,9 @@ def load(path: str, shipped: bool = False) -> Pieces:
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, a blank between), decoded of every text of docs.
 
-    A null text counts as empty: it has the end id alone.  Rows stay rows.  The
-    model's file is sent to the executors by name.
+    A null text counts as empty: it has the end id alone.  Rows stay rows, repeated
+    ones too; very long texts are encoded whole, further columns play no part, and of
+    an empty table nothing comes.  The model's file is sent to the executors by name.
     """
     spark, name = docs.sparkSession, Path(model_path).name
     spark.sparkContext.addFile(model_path)

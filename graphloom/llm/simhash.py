@@ -1,8 +1,8 @@
 """SimHash fingerprints, and near duplicates by multi-index hashing.
 
-The 64 bits fall into ``SEGMENTS`` parts.  Of two fingerprints that differ in at
-most four bits, some part differs in at most one (three parts, radius one), so
-each fingerprint looks up, part by part, the small Hamming ball around its own
+The 64 bits fall into segments.  Of two fingerprints that differ in at most four
+bits, some segment differs in at most one (three segments, radius one) or two (two
+segments, radius two), so each fingerprint looks up, part by part, the small Hamming ball around its own
 value in the table of all fingerprints; what is found counts as a link only if
 the complete distance is small enough.  Equal fingerprints are one entry of the
 table, so a group of copies costs what one row does.
@@ -15,11 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stage
+from graphloom.llm.common import stage, unused
 
+#: Distinct fingerprints up to which three segments are used; beyond it their 21 bits would be shared by too many, and two are.
+FEW = 1 << 24
 #: Rows without an id get nodes from here on, and come out as null.
 _NAMELESS = 1 << 62
 
@@ -102,17 +104,19 @@ def components(edges: DataFrame) -> DataFrame:
     return member
 
 
-def near_duplicates(docs: DataFrame, *, distance: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, distance: int = 4, segments: int | None = None) -> DataFrame:
     """doc_id, fp, component_id of every row of docs: component_id is the least doc_id that links reach.
 
     Rows whose fingerprints are equal, or differ in at most ``distance`` bits, are
     linked; empty texts have fingerprint zero and link like others.  A row without
-    a doc_id links too, but names no component.
+    a doc_id links too, but names no component.  Rows stay rows, repeated ones too;
+    very long texts count whole, further columns play no part, and of an empty table
+    nothing comes.  The number of segments changes the work, not the result.
     """
     fps = stage(fingerprints(docs))
     node = F.coalesce("doc_id", F.lit(_NAMELESS).bitwiseOR(F.col("fp").bitwiseAND(F.lit(_NAMELESS - 1))))
     table = stage(fps.groupBy("fp").agg(F.min(node).alias("node")))
-    found = links(table, distance=distance, segments=segments)
+    found = links(table, distance=distance, segments=segments or (3 if table.count() <= FEW else 2))
     ends = found.join(table.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(table.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
     edges = ends.select(F.col("na").alias("a"), F.col("nb").alias("b"))
     root = components(edges)
@@ -132,11 +136,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of several rows with that doc_id the one of the least text stays.  Rows without
     a doc_id stay, once per text.
     """
-    own = docs.columns
-    marked = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
-    marked = stage(marked.where("doc_id = c").select(F.col("doc_id").alias("__id"), "n"))
-    single = docs.join(marked.where("n = 1"), docs["doc_id"] == F.col("__id"), "left_semi")
-    several = docs.join(marked.where("n > 1"), docs["doc_id"] == F.col("__id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    several = several.withColumn("__n", first).where("__n = 1").select(*own)
+    own, (ident, rows, row) = docs.columns, unused(docs, "ident", "rows", "row")
+    marked = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias(rows))
+    marked = stage(marked.where("doc_id = c").select(F.col("doc_id").alias(ident), rows))
+    single = docs.join(marked.where(F.col(rows) == 1), docs["doc_id"] == F.col(ident), "left_semi")
+    several = docs.join(marked.where(F.col(rows) > 1), docs["doc_id"] == F.col(ident), "left_semi")
+    # least first, before and after the shuffle: the rows of one doc_id never meet
+    several = several.groupBy(F.col("doc_id").alias(ident)).agg(F.min_by(F.struct(*own), F.struct("text")).alias(row)).select(f"{row}.*")
     return single.select(*own).unionByName(several).unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
