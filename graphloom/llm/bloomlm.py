@@ -264,7 +264,7 @@ def _seen_by_broadcast(texts: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (bloom, norm, *common), row = sent.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 4 << 20):
                 hashes, first = tokens(part.column(1))
                 grams = Grams(hashes, first)
                 yield _scored(row, part.column(0), hashes, first, grams.log10(bloom.levels(grams.keys), norm), *common)
@@ -281,7 +281,7 @@ def _seen_by_segment(texts: DataFrame, model: Model) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 4 << 20):
                 edges = pa.array([0, part.num_rows], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([row]), *[pa.ListArray.from_arrays(edges, part.column(k)) for k in (0, 1)]], ["slice", "ids", "texts"])
                 row += part.num_rows

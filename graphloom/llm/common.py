@@ -55,10 +55,15 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def release(*staged: DataFrame) -> None:
-    """Remove what stage() wrote, and the shuffle files of plans that nothing refers to any more."""
+    """Remove what stage() wrote."""
     for df in staged:
         drop(df.sparkSession, df._staged)
-    staged[0].sparkSession.sparkContext._jvm.System.gc()
+    tidy(staged[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more, as it does on the driver's collections only."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop(spark: SparkSession, path: str) -> None:
