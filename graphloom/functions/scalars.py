@@ -39,7 +39,7 @@ def normal_path(path: Column) -> Column:
 
 def strip_code(text: Column) -> Column:
     """Without fenced blocks and inline code."""
-    text = F.regexp_replace(text, r"(?ms)^[ \t]*(`{3,}|~{3,})[^\n]*\n.*?^[ \t]*\1[ \t]*$", "")
+    text = F.regexp_replace(text, r"(?ms)^(`{3,}|~{3,})[^\n]*\n.*?^\1[^\n]*$", "")
     return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", ""), r"`[^`\n]*`", "")
 
 
@@ -63,7 +63,7 @@ def without_md(path: Column) -> Column:
 
 def related_key(entry: Column) -> Column:
     """The page that an entry of a related list names."""
-    return without_md(basename(link_target(F.regexp_replace(trim(entry), r"^\[\[|\]\]$", ""))))
+    return trim(without_md(basename(F.translate(link_target(F.regexp_replace(trim(entry), r"^\[\[|\]\]$", "")), "\\", "/"))))
 
 
 def source_key(raw: Column) -> Column:
@@ -95,12 +95,12 @@ def structural_name(name: Column) -> Column:
 
 def title(declared: Column, body: Column, path: Column) -> Column:
     """The declared title, else the first heading of level one or two, else the file's name."""
-    heading = F.nullif(trim(F.regexp_extract(body, r"(?m)^#{1,2}[ \t]+(.+)$", 1)), F.lit(""))
+    heading = F.nullif(trim(F.regexp_extract(body, r"(?m)^#{1,2}[ \t]+(.+?)[ \t]*#*[ \t]*$", 1)), F.lit(""))
     return F.coalesce(F.nullif(trim(declared), F.lit("")), heading, F.regexp_replace(without_md(basename(path)), "[-_]+", " "))
 
 
 def clean_tags(tags: Column) -> Column:
-    return F.transform(tags, lambda t: trim(F.regexp_replace(t, "^#+", "")))
+    return F.transform(tags, lambda t: trim(F.regexp_replace(t, "^#", "")))
 
 
 def hyphened(key: Column) -> Column:

@@ -127,7 +127,7 @@ def layout_key(nodes: DataFrame, edges: DataFrame, gravity: float = 1.0) -> Data
     return n.crossJoin(e).select(F.sha2(F.concat_ws(":", "n", "hn", "e", "he", F.lit(gravity)), 256).alias("key"))  # one row each
 
 
-def adopt_layout(nodes: DataFrame, nbr: DataFrame, known: DataFrame, rounds: int = 10) -> DataFrame:
+def adopt_layout(nodes: DataFrame, nbr: DataFrame, known: DataFrame) -> DataFrame:
     """id, x, y: known positions, then the middle of placed neighbours with a fixed jitter, the rest on a golden-angle spiral."""
     import math
 
@@ -135,7 +135,7 @@ def adopt_layout(nodes: DataFrame, nbr: DataFrame, known: DataFrame, rounds: int
 
     placed = cut(known.join(nodes.select("id"), "id", "left_semi").select("id", "x", "y"))
     jitter = lambda salt: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1000)) / 1000.0 - 0.5) * 10
-    for _ in range(rounds):
+    while True:  # each round places one more ring of neighbours
         rest = nodes.select("id").join(placed, "id", "left_anti")
         new = cut(rest.join(nbr, "id").join(placed.withColumnRenamed("id", "nbr"), "nbr").groupBy("id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).select("id", (F.col("x") + jitter(1)).alias("x"), (F.col("y") + jitter(2)).alias("y")))
         if new.isEmpty():

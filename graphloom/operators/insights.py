@@ -33,10 +33,10 @@ def prediction_scores(pairs: DataFrame, nbr: DataFrame) -> DataFrame:
     return adamic_adar(pairs, nbr).withColumn("score", 0.45 * saturate(F.col("aa")) + 0.35 * saturate(F.col("ra")) + 0.2 * F.least(F.lit(1.0), F.col("cn") / 3))
 
 
-def missing_links(links: DataFrame, *, k: int | None = 6, hub: int = HUB, least: float = 0.2) -> DataFrame:
+def missing_links(links: DataFrame, *, k: int | None = 6, hub: int = HUB, least: float = 0.2, rank: DataFrame | None = None) -> DataFrame:
     """a, b, aa, ra, cn, hub, score, confidence of the likeliest links that aren't there."""
     nbr = neighbours(links)
-    found = prediction_scores(two_hops(nbr, hub=hub), nbr).where(F.round("score", 9) >= least)
+    found = prediction_scores(two_hops(nbr, rank, hub), nbr).where(F.round("score", 9) >= least)
     found = found.withColumn("confidence", F.when(F.col("score") >= 0.6, "strong").when(F.col("score") >= 0.35, "moderate").otherwise("weak"))
     return found.orderBy(F.desc(F.round("score", 9)), "a", "b").limit(k) if k is not None else found
 

@@ -20,9 +20,17 @@ class Weights:
 
 
 def common_neighbours(pairs: DataFrame, nbr: DataFrame) -> DataFrame:
-    """a, b, z for every neighbour z that a pair shares: pairs are joined first, so wedges stay as few as their closing."""
-    left = pairs.join(nbr.select(F.col("id").alias("a"), F.col("nbr").alias("z")), "a")
-    return left.join(nbr.select(F.col("id").alias("b"), F.col("nbr").alias("z")), ["b", "z"]).select("a", "b", "z")
+    """a, b, z for every neighbour z that a pair shares.
+
+    Pairs are joined first, and start from the end with fewer neighbours, so that a
+    hub's neighbours are never listed for each of its pairs with a small page.
+    """
+    deg = nbr.groupBy("id").agg(F.count("*").alias("n"))
+    sized = pairs.select("a", "b").join(deg.toDF("a", "na"), "a").join(deg.toDF("b", "nb"), "b")
+    small = F.col("na") <= F.col("nb")
+    sized = sized.select("a", "b", F.when(small, F.col("a")).otherwise(F.col("b")).alias("near"), F.when(small, F.col("b")).otherwise(F.col("a")).alias("far"))
+    left = sized.join(nbr.select(F.col("id").alias("near"), F.col("nbr").alias("z")), "near")
+    return left.join(nbr.select(F.col("id").alias("far"), F.col("nbr").alias("z")), ["far", "z"]).select("a", "b", "z")
 
 
 def adamic_adar(pairs: DataFrame, nbr: DataFrame) -> DataFrame:

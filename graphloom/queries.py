@@ -24,7 +24,7 @@ from graphloom.operators import trends as T
 from graphloom.operators.edit import insert_links
 from graphloom.operators.parse import parse_notes
 from graphloom.plans.engine import analyse, build_graph
-from graphloom.plans.views import SPARSE_SINCE, part_links, part_nodes, part_sources, table
+from graphloom.plans.views import BAREST, STRONGEST, part_links, part_nodes, part_sources, table
 from graphloom.sources import vault
 from graphloom.streaming.history import first_seen_updates, keep_history, latest
 
@@ -39,7 +39,11 @@ links AS (SELECT DISTINCT src, dst FROM seq WHERE dst IS NOT NULL AND src <> dst
 und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM links),
 nbr AS (SELECT a AS id, b AS nbr FROM und UNION ALL SELECT b, a FROM und),
 deg AS (SELECT id, count(*) AS d FROM nbr GROUP BY id)"""
-SPARSE = LINKS.replace("FROM lineitem)", f"FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '{SPARSE_SINCE}'))")
+SPARSE = LINKS.replace(
+    "SELECT DISTINCT src, dst FROM seq WHERE dst IS NOT NULL AND src <> dst",
+    "SELECT src, dst FROM (SELECT src, dst, count(*) AS n FROM seq WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 4",
+)
+BARE = SPARSE.replace("<= 4", "<= 1")
 SOURCES = "src AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS source FROM lineitem WHERE l_quantity >= 45)"
 NODES = """
 ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM links UNION ALL SELECT dst, 0, 1 FROM links),
@@ -76,16 +80,16 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def sparse_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and undirected edges of the sparse view."""
-    links = cut(part_links(spark, d, SPARSE_SINCE))
+def sparse_graph(spark: SparkSession, d: str, strongest: int = STRONGEST) -> tuple[DataFrame, DataFrame]:
+    """Nodes and undirected edges of each part's strongest links."""
+    links = cut(part_links(spark, d, strongest))
     return part_nodes(spark, d, links), L.undirected(links)
 
 
 def scored_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Nodes, and edges a, b, weight, shared and signals."""
     links = cut(part_links(spark, d))
-    sources = part_sources(spark, d)
+    sources = cut(part_sources(spark, d))
     edges = R.edge_scores(links, sources).withColumnRenamed("total", "weight")
     shared = R.shared_sources(edges.select("a", "b"), sources).select("a", "b", F.col("n").alias("shared"))
     return part_nodes(spark, d, links), edges.join(shared, ["a", "b"], "left").na.fill(0, ["shared"])
@@ -133,12 +137,12 @@ def shared_sources(spark, d):
 
 @query(f"WITH {LINKS}, {SOURCES}, {SIGNALS} SELECT a, b, {ROUNDED} FROM edges")
 def edge_relevance(spark, d):
-    return rounded(R.edge_scores(part_links(spark, d), part_sources(spark, d)))
+    return rounded(R.edge_scores(cut(part_links(spark, d)), cut(part_sources(spark, d))))
 
 
 @query(f"WITH {LINKS}, {SOURCES}, {SIGNALS} SELECT a, b, {ROUNDED} FROM edges ORDER BY round(weight, 6) DESC, a, b LIMIT 20")
 def strongest_edges(spark, d):
-    return rounded(R.edge_scores(part_links(spark, d), part_sources(spark, d))).orderBy(F.desc("total"), "a", "b").limit(20)
+    return rounded(R.edge_scores(cut(part_links(spark, d)), cut(part_sources(spark, d)))).orderBy(F.desc("total"), "a", "b").limit(20)
 
 
 _FULL = SIGNALS.replace("FROM und p", "FROM pool p").replace("JOIN dl USING", "LEFT JOIN dl USING").replace("4.0 * dl.ways", "4.0 * coalesce(dl.ways, 0)")
@@ -155,13 +159,13 @@ def related_topk(spark, d):
 
 @query(f"WITH {LINKS}, {SOURCES}, {SIGNALS}, e AS (SELECT a AS id, b AS nbr, round(weight, 6) AS weight FROM edges UNION ALL SELECT b, a, round(weight, 6) FROM edges) SELECT id, nbr, weight, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, nbr) AS INT) AS rank FROM e QUALIFY rank <= 3")
 def incident_topk(spark, d):
-    edges = rounded(R.edge_scores(part_links(spark, d), part_sources(spark, d))).select("a", "b", F.col("total").alias("weight"))
+    edges = rounded(R.edge_scores(cut(part_links(spark, d)), cut(part_sources(spark, d)))).select("a", "b", F.col("total").alias("weight"))
     return R.incident(edges, 3)
 
 
 @query(f"WITH {LINKS}, {SOURCES}, {SIGNALS} SELECT a, b, round(weight / greatest(max(weight) OVER (), 1.0), 6) AS norm, round(0.5 + 2.5 * weight / greatest(max(weight) OVER (), 1.0), 6) AS width, round(0.15 + 0.65 * weight / greatest(max(weight) OVER (), 1.0), 6) AS alpha FROM edges")
 def edge_style(spark, d):
-    edges = cut(R.edge_scores(part_links(spark, d), part_sources(spark, d)).select("a", "b", F.col("total").alias("weight")))
+    edges = cut(R.edge_scores(cut(part_links(spark, d)), cut(part_sources(spark, d))).select("a", "b", F.col("total").alias("weight")))
     return rounded(V.edge_style(R.normalised(edges)).select("a", "b", "norm", "width", "alpha"))
 
 
@@ -194,7 +198,7 @@ def ari(spark, d):
     return rounded(C.adjusted_rand(p.select("p_partkey", F.pmod("p_size", F.lit(8))), p.select("p_partkey", "p_brand")))
 
 
-@query()
+@query("SELECT DISTINCT CAST(p_size % 8 AS BIGINT) AS community, CAST((p_size + 3) % 8 AS BIGINT) AS shown FROM part")
 def community_remap(spark, d):
     p = table(spark, d, "part")
     names = C.remap(p.select("p_partkey", F.pmod("p_size", F.lit(8)).cast("long")), p.select("p_partkey", F.pmod(F.col("p_size") + 3, F.lit(8)).cast("long")))
@@ -203,14 +207,14 @@ def community_remap(spark, d):
 
 @query()
 def louvain(spark, d):
-    links = part_links(spark, d, SPARSE_SINCE)
+    links = part_links(spark, d, STRONGEST)
     edges = L.undirected(links).withColumn("weight", F.lit(1.0))
     return C.louvain(table(spark, d, "part").select(F.col("p_partkey").alias("id")), edges)
 
 
 @query()
 def label_groups(spark, d):
-    edges = cut(L.undirected(part_links(spark, d, SPARSE_SINCE)).withColumn("weight", F.lit(1.0)))
+    edges = cut(L.undirected(part_links(spark, d, STRONGEST)).withColumn("weight", F.lit(1.0)))
     return C.label_groups(table(spark, d, "part").select(F.col("p_partkey").alias("id")), edges, rounds=4)
 
 
@@ -239,9 +243,13 @@ def route_count(spark, d):
     return spark.createDataFrame([(dist, P.route_count(nodes, edges, 1, 150, dist))], "distance long, routes long")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SPARSE}, ends AS (SELECT id, nbr AS target FROM nbr ORDER BY 1, 2 LIMIT 1), w AS (SELECT [id] AS path, id AS tip FROM ends UNION ALL "
+    "SELECT list_append(w.path, n.nbr), n.nbr FROM w JOIN nbr n ON n.id = w.tip, ends WHERE w.tip <> ends.target AND len(w.path) <= 4 AND NOT list_contains(w.path, n.nbr)) "
+    "SELECT array_to_string(path, ',') AS path FROM w, ends WHERE tip = target"
+)
 def simple_paths(spark, d):
-    nbr = cut(L.neighbours(part_links(spark, d, SPARSE_SINCE)))
+    nbr = cut(L.neighbours(part_links(spark, d, STRONGEST)))
     ends = nbr.orderBy("id", "nbr").limit(1).collect()
     pair = (ends[0].id, ends[0].nbr) if ends else (1, 2)
     return P.simple_paths(nbr, *pair, 4).select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
@@ -263,20 +271,24 @@ def label_components(spark, d):
 
 @query()
 def cut_vertices(spark, d):
-    nodes, edges = sparse_graph(spark, d)
+    nodes, edges = sparse_graph(spark, d, BAREST)
     found = G.cut_analysis(nodes.select("id"), edges)
     return rounded(G.cut_findings(nodes, cut(found)))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {BARE}, reach AS (SELECT src AS start, dst AS tip FROM links UNION SELECT start, l.dst FROM reach JOIN links l ON l.src = tip) "
+    # with one successor each, only links on a circle of three or more aren't bridges
+    "SELECT a, b FROM und EXCEPT SELECT least(x.src, x.dst), greatest(x.src, x.dst) FROM links x WHERE x.src IN (SELECT start FROM reach WHERE start = tip) AND NOT EXISTS (SELECT 1 FROM links y WHERE y.src = x.dst AND y.dst = x.src)"
+)
 def bridges(spark, d):
-    nodes, edges = sparse_graph(spark, d)
+    nodes, edges = sparse_graph(spark, d, BAREST)
     return G.cut_analysis(nodes.select("id"), edges).where("kind = 'bridge'").select("a", "b")
 
 
 @query()
 def kcore(spark, d):
-    return G.core_numbers(cut(L.neighbours(part_links(spark, d, SPARSE_SINCE))))
+    return G.core_numbers(cut(L.neighbours(part_links(spark, d, STRONGEST))))
 
 
 @query(f"WITH {LINKS}, cn AS (SELECT p.a, p.b, count(x.nbr) AS cn FROM und p LEFT JOIN (SELECT x.id AS a, y.id AS b, x.nbr FROM nbr x JOIN nbr y ON x.nbr = y.nbr) x ON x.a = p.a AND x.b = p.b GROUP BY p.a, p.b), e AS (SELECT a AS id, cn FROM cn UNION ALL SELECT b, cn FROM cn) SELECT id, count(*) AS degree, round(CAST(sum((1 + cn) * (1 + cn)) AS DOUBLE) / (count(*) * count(*)), 6) AS constraint_ FROM e GROUP BY id")
@@ -284,15 +296,26 @@ def constraint(spark, d):
     return rounded(G.constraint(cut(L.neighbours(part_links(spark, d)))).withColumnRenamed("constraint", "constraint_"))
 
 
-@query(f"WITH {SPARSE}, {NODES}, n AS (SELECT id, label AS community FROM nodes), c AS (SELECT x.community AS ca, y.community AS cb, a, b FROM und JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE x.community <> y.community), e AS (SELECT ca AS community, a AS id FROM c UNION ALL SELECT cb, b FROM c) SELECT community, min(id) AS id, count(*) AS exits FROM e GROUP BY community HAVING count(DISTINCT id) = 1")
+_LEAVES = "of AS (SELECT p_partkey AS id, CASE WHEN p_partkey IN (SELECT dst FROM links) THEN p_partkey ELSE coalesce((SELECT dst FROM links WHERE src = p_partkey), p_partkey) END AS community FROM part)"
+
+
+@query(
+    f"WITH {BARE}, {_LEAVES}, c AS (SELECT x.community AS ca, y.community AS cb, a, b FROM und JOIN of x ON x.id = a JOIN of y ON y.id = b WHERE x.community <> y.community), "
+    "e AS (SELECT ca AS community, a AS id FROM c UNION ALL SELECT cb, b FROM c) "
+    "SELECT community, min(id) AS id, count(*) AS exits FROM e GROUP BY community HAVING count(DISTINCT id) = 1"
+)
 def gateways(spark, d):
-    nodes, edges = sparse_graph(spark, d)
-    return G.gateways(nodes.select("id", F.col("label").alias("community")), edges)
+    """A page that none leads to is in the community of the page that it leads to."""
+    links = cut(part_links(spark, d, BAREST))
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    led = links.select(F.col("dst").alias("id")).distinct().withColumn("led", F.lit(True))
+    of = nodes.join(led, "id", "left").join(links.withColumnRenamed("src", "id"), "id", "left")
+    return G.gateways(of.select("id", F.when(F.col("led"), F.col("id")).otherwise(F.coalesce("dst", "id")).alias("community")), L.undirected(links))
 
 
 @query()
 def underlinked_hubs(spark, d):
-    nodes, edges = sparse_graph(spark, d)
+    nodes, edges = sparse_graph(spark, d, BAREST)
     nbr = cut(L.neighbours(edges.toDF("src", "dst")))
     return rounded(G.underlinked_hubs(nodes, G.core_numbers(nbr), nbr))
 
@@ -310,12 +333,12 @@ _HOPS = "firsts AS (SELECT id, nbr FROM nbr QUALIFY row_number() OVER (PARTITION
 
 @query(f"WITH {SPARSE}, {_HOPS} SELECT a, b, round(aa, 6) AS aa, round(ra, 6) AS ra, cn, hub, round(score, 6) AS score, CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.35 THEN 'moderate' ELSE 'weak' END AS confidence FROM scored WHERE round(score, 9) >= 0.2 ORDER BY round(score, 9) DESC, a, b LIMIT 6")
 def missing_links(spark, d):
-    return rounded(I.missing_links(cut(part_links(spark, d, SPARSE_SINCE))))
+    return rounded(I.missing_links(cut(part_links(spark, d, STRONGEST))))
 
 
 @query(f"WITH {SPARSE}, {_HOPS} SELECT a, b, cn, hub, round(score, 6) AS score FROM scored")
 def link_predictions(spark, d):
-    nbr = cut(L.neighbours(part_links(spark, d, SPARSE_SINCE)))
+    nbr = cut(L.neighbours(part_links(spark, d, STRONGEST)))
     return rounded(I.prediction_scores(I.two_hops(nbr), nbr).select("a", "b", "cn", "hub", "score"))
 
 
@@ -334,9 +357,9 @@ def existing_link_evidence(spark, d):
     return I.named_neighbours(L.undirected(links), L.neighbours(links))
 
 
-@query(f"WITH {SPARSE}, {NODES} SELECT id, label, link_count FROM nodes WHERE NOT is_structural AND link_count <= 1")
+@query(f"WITH {BARE}, {NODES} SELECT id, label, link_count FROM nodes WHERE NOT is_structural AND link_count <= 1")
 def isolated_pages(spark, d):
-    return I.isolated(part_nodes(spark, d, cut(part_links(spark, d, SPARSE_SINCE)))).select("id", "label", "link_count")
+    return I.isolated(part_nodes(spark, d, cut(part_links(spark, d, BAREST)))).select("id", "label", "link_count")
 
 
 @query(SQL["community_summary"].replace("SELECT community, node_count, intra_edges", "SELECT community, node_count").replace(", round(2.0 * intra_edges / node_count, 6) AS mean_intra_degree, node_count >= 3 AND", " FROM summ, one WHERE node_count >= 3 AND").replace(" AS is_sparse FROM summ, one", ""))
@@ -347,13 +370,19 @@ def sparse_communities(spark, d):
 
 @query(f"WITH {SPARSE}, {NODES}, s AS (SELECT n.id, count(DISTINCT x.community) AS clusters FROM nbr n JOIN nodes x ON x.id = n.nbr GROUP BY n.id) SELECT id, clusters, link_count FROM nodes JOIN s USING (id) WHERE NOT is_structural AND clusters >= 3")
 def bridge_nodes(spark, d):
-    links = cut(part_links(spark, d, SPARSE_SINCE))
+    links = cut(part_links(spark, d, STRONGEST))
     return I.bridge_nodes(part_nodes(spark, d, links), L.neighbours(links), k=None)
 
 
-@query()
+@query(
+    f"WITH {BARE}, {_INNER}, alone AS (SELECT 1 AS o, 0.0 AS s, 'isolated' AS kind, CAST(min(id) AS VARCHAR) AS anchor, count(*) AS n FROM nodes WHERE NOT is_structural AND link_count <= 1 HAVING count(*) > 0), "
+    "thin AS (SELECT 2, intra_edges / (node_count * (node_count - 1) / 2), 'sparse', CAST(community AS VARCHAR), node_count FROM summ, one WHERE node_count >= 3 AND intra_edges / (node_count * (node_count - 1) / 2) < 1.5 * e / (n * (n - 1) / 2)), "
+    "span AS (SELECT n.id, count(DISTINCT x.community) AS clusters FROM nbr n JOIN nodes x ON x.id = n.nbr GROUP BY n.id), "
+    "over_ AS (SELECT 3, -clusters, 'bridge', CAST(id AS VARCHAR), clusters FROM nodes JOIN span USING (id) WHERE NOT is_structural AND clusters >= 3 ORDER BY clusters DESC, link_count DESC, id LIMIT 3) "
+    "SELECT kind, anchor, n FROM (SELECT * FROM alone UNION ALL SELECT * FROM thin UNION ALL SELECT * FROM over_) ORDER BY o, s, length(anchor), anchor LIMIT 10"
+)
 def gap_cards(spark, d):
-    links = cut(part_links(spark, d, SPARSE_SINCE))
+    links = cut(part_links(spark, d, BAREST))
     nodes = cut(part_nodes(spark, d, links))
     return I.gap_cards(nodes, C.summary(nodes, L.undirected(links)), L.neighbours(links))
 
@@ -361,14 +390,14 @@ def gap_cards(spark, d):
 # ---------------------------------------------------------------- trends and history
 
 
-@query(f"WITH {SPARSE}, {NODES} SELECT id, CAST(floor(({NOW} - created) / 86400000) AS BIGINT) AS age, CASE WHEN floor(({NOW} - created) / 86400000) >= 30 THEN 2 ELSE 1 END AS severity FROM nodes WHERE NOT is_structural AND link_count <= 1 AND created IS NOT NULL AND floor(({NOW} - created) / 86400000) >= 7")
+@query(f"WITH {BARE}, {NODES} SELECT id, CAST(floor(({NOW} - created) / 86400000) AS BIGINT) AS age, CASE WHEN floor(({NOW} - created) / 86400000) >= 30 THEN 2 ELSE 1 END AS severity FROM nodes WHERE NOT is_structural AND link_count <= 1 AND created IS NOT NULL AND floor(({NOW} - created) / 86400000) >= 7")
 def aging_orphans(spark, d):
-    return T.aging_orphans(part_nodes(spark, d, cut(part_links(spark, d, SPARSE_SINCE))), NOW, None).select("id", "age", "severity")
+    return T.aging_orphans(part_nodes(spark, d, cut(part_links(spark, d, BAREST))), NOW, None).select("id", "age", "severity")
 
 
 @query(f"WITH {SPARSE}, {NODES}, x AS (SELECT nodes.id, d AS degree, CAST(floor(({NOW} - modified) / 86400000) AS BIGINT) AS idle FROM nodes JOIN deg ON deg.id = nodes.id WHERE NOT is_structural AND modified IS NOT NULL AND d >= 5) SELECT id, degree, idle, round((degree * idle / 180.0) / (degree * idle / 180.0 + 4), 6) AS score FROM x WHERE idle >= 180")
 def stale_hubs(spark, d):
-    links = cut(part_links(spark, d, SPARSE_SINCE))
+    links = cut(part_links(spark, d, STRONGEST))
     return rounded(T.stale_hubs(part_nodes(spark, d, links), L.neighbours(links), NOW, None))
 
 
@@ -410,7 +439,9 @@ def stream_first_seen(spark, d):
     source = table(spark, d, "events")
     source.select("user_id", "event_type", "ts").repartition(2).write.parquet(f"{base}/in")
     events = spark.readStream.schema(source.select("user_id", "event_type", "ts").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in").withColumn("key", F.concat_ws(":::", F.col("user_id").cast("string"), "event_type"))
-    keep_history(events, f"{base}/out", f"{base}/checkpoint").awaitTermination(300)
+    if not (stream := keep_history(events, f"{base}/out", f"{base}/checkpoint")).awaitTermination(1_800):
+        stream.stop()
+        raise TimeoutError("the stream hasn't ended, and its rows aren't whole")
     return latest(spark, f"{base}/out")
 
 
@@ -433,7 +464,7 @@ def first_seen_series(spark, d):
 
 @query(f"WITH {SPARSE}, {_HOPS} SELECT a || ':::' || b AS key, round(score, 6) AS score FROM scored WHERE score >= 0.2 AND (a + b) % 3 <> 0")
 def deliberate_nonlinks(spark, d):
-    nbr = cut(L.neighbours(part_links(spark, d, SPARSE_SINCE)))
+    nbr = cut(L.neighbours(part_links(spark, d, STRONGEST)))
     scored = cut(I.prediction_scores(I.two_hops(nbr), nbr).select(F.concat_ws(":::", F.col("a").cast("string"), F.col("b").cast("string")).alias("key"), "score", (F.col("a") + F.col("b")).alias("s")))
     history = scored.where("s % 3 = 0").select("key", F.lit(0).cast("long").alias("first_seen"))
     return rounded(T.deliberate_non_links(scored.drop("s"), history.unionByName(spark.createDataFrame([("begun", 0)], "key string, first_seen long")), NOW))
@@ -458,18 +489,18 @@ _SHOWN = f"{SPARSE}, {NODES}, shown AS (SELECT * FROM nodes WHERE type <> 'query
 
 @query(f"WITH {_SHOWN} SELECT id, label FROM shown")
 def visibility(spark, d):
-    return V.visible_nodes(part_nodes(spark, d, cut(part_links(spark, d, SPARSE_SINCE))), _FILTERS).select("id", "label")
+    return V.visible_nodes(part_nodes(spark, d, cut(part_links(spark, d, STRONGEST))), _FILTERS).select("id", "label")
 
 
 @query(f"WITH {_SHOWN} SELECT a, b FROM und WHERE a IN (SELECT id FROM shown) AND b IN (SELECT id FROM shown)")
 def visible_edges(spark, d):
-    links = cut(part_links(spark, d, SPARSE_SINCE))
+    links = cut(part_links(spark, d, STRONGEST))
     return V.edges_between(L.undirected(links), V.visible_nodes(part_nodes(spark, d, links), _FILTERS))
 
 
 @query(f"WITH {_SHOWN} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM shown) AS shown, (SELECT count(*) FROM und) AS edges")
 def status_counters(spark, d):
-    links = cut(part_links(spark, d, SPARSE_SINCE))
+    links = cut(part_links(spark, d, STRONGEST))
     nodes = cut(part_nodes(spark, d, links))
     return nodes.agg(F.count("*").alias("nodes"), F.count_if(_FILTERS.column()).alias("shown")).crossJoin(L.undirected(links).agg(F.count("*").alias("edges")))  # one row each
 
@@ -524,7 +555,7 @@ def snapshot_coverage(spark, d):
 
 def part_notes(spark, d):
     """Markdown notes made from parts: a head, a heading, and links to the parts that follow."""
-    links = part_links(spark, d, SPARSE_SINCE)
+    links = part_links(spark, d, STRONGEST)
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", "p_brand", "p_size")
     to = links.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("[[part-"), F.col("dst").cast("string"), F.lit("]]")))), " and ").alias("to"))
     note = F.concat(F.lit("---\ntype: "), "p_type", F.lit("\ntags: ['#"), "p_brand", F.lit("', size"), F.col("p_size").cast("string"), F.lit("]\nsources: raw/Supplier "), F.col("p_size").cast("string"), F.lit(".pdf\n---\n# "), "p_name", F.lit("\nSee "), F.coalesce("to", F.lit("nothing")), F.lit(" and [[missing-"), F.col("p_size").cast("string"), F.lit("|gone]] but not `[[code]]`.\n"))
@@ -558,14 +589,17 @@ def link_index(spark, d):
     return L.link_keys(parse_notes(part_notes(spark, d).drop("id")))
 
 
-@query("WITH h AS (SELECT page_id AS id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) SELECT DISTINCT id, trim(target) AS target FROM h WHERE trim(target) <> ''")
+@query(
+    "WITH r AS (SELECT p_partkey AS n, p_partkey + 1 AS m FROM part UNION ALL SELECT p_partkey, p_partkey * 2 FROM part), top AS (SELECT max(p_partkey) AS top FROM part) "
+    "SELECT 'part-' || n AS id, 'PART ' || m AS target, CASE WHEN m <= top THEN 'part-' || m END AS resolved, m <= top AND m % 3 = 0 AS local FROM r, top"
+)
 def two_level_resolve(spark, d):
-    """Links of web pages that neither the near nor the wide dictionary knows."""
-    pages = table(spark, d, "pages")
-    notes = pages.select(F.col("page_id").cast("string").alias("id"), F.substring_index("url", "/", -1).alias("basename"), F.array().cast("array<string>").alias("aliases")).where("basename <> ''")
-    refs = pages.select(F.col("page_id").cast("string").alias("id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target")).where("trim(target) <> ''")
-    out = L.resolve_in_two(refs, L.link_keys(notes.where("false")), L.link_keys(notes.where("false")))
-    return L.unresolved(out).select(F.col("id").cast("long").alias("id"), "target")
+    """Links that the near dictionary, of every third page, knows, or else the wide one of all, or neither."""
+    part = cut(table(spark, d, "part").select("p_partkey"))
+    name = lambda c: F.concat(F.lit("part-"), c.cast("string"))
+    notes = part.select(name(F.col("p_partkey")).alias("id"), name(F.col("p_partkey")).alias("basename"), F.array().cast("array<string>").alias("aliases"), "p_partkey")
+    refs = part.select(name(F.col("p_partkey")).alias("id"), F.explode(F.array(F.col("p_partkey") + 1, F.col("p_partkey") * 2)).alias("m")).select("id", F.concat(F.lit("PART "), F.col("m").cast("string")).alias("target"))
+    return L.resolve_in_two(refs, L.link_keys(notes.where("p_partkey % 3 = 0")), L.link_keys(notes))
 
 
 @query("WITH t AS (SELECT doc_id, text, 'Raw/Dir\\' || source || ' File.PDF|alias' AS s FROM documents) SELECT doc_id, source || ' file' AS key FROM (SELECT doc_id, lower(source) AS source FROM documents)")
@@ -641,7 +675,7 @@ def insert_link(spark, d):
 
 @query()
 def report_related(spark, d):
-    links, sources = cut(part_links(spark, d, SPARSE_SINCE)), part_sources(spark, d)
+    links, sources = cut(part_links(spark, d, STRONGEST)), part_sources(spark, d)
     nodes, edges = cut(part_nodes(spark, d, links)), cut(R.edge_scores(links, sources))
     top = R.incident(edges.select("a", "b", F.col("total").alias("weight")), 10)
     signals = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("x"), "total", "direct_link", "adamic_adar", "source_overlap", "co_citation").select("x.*", "total", "direct_link", "adamic_adar", "source_overlap", "co_citation")
@@ -653,7 +687,7 @@ def report_related(spark, d):
 
 
 def _findings(spark, d):
-    nbr = cut(L.neighbours(part_links(spark, d, SPARSE_SINCE)))
+    nbr = cut(L.neighbours(part_links(spark, d, STRONGEST)))
     pairs = I.prediction_scores(I.two_hops(nbr), nbr)
     return pairs.select(F.concat_ws(":::", F.col("a").cast("string"), F.col("b").cast("string")).alias("key"), F.get(F.array(*map(F.lit, ["missing-link", "existing-link", "sparse", "brokerage", "stale-hub"])), F.pmod("a", F.lit(5)).cast("int")).alias("kind"), F.get(F.array(*map(F.lit, ["prediction", "connections", "gaps", "structure", "trends"])), F.pmod("a", F.lit(5)).cast("int")).alias("analyser"), F.round("score", 6).alias("score"), (F.pmod("b", F.lit(3)) + 1).cast("int").alias("severity"), F.get(F.array(*map(F.lit, ["one-click", "edit", "write"])), F.pmod(F.col("a") + F.col("b"), F.lit(3)).cast("int")).alias("effort"), F.lit("moderate").alias("confidence"))
 
@@ -714,14 +748,14 @@ def precision_at_k(spark, d):
 
 @query(f"WITH {SPARSE}, {NODES}, {_HOPS} SELECT a, b FROM pool JOIN deg x ON x.id = a JOIN deg y ON y.id = b WHERE x.d <= 10 AND y.d <= 10 AND a NOT IN (SELECT id FROM nodes WHERE is_structural) AND b NOT IN (SELECT id FROM nodes WHERE is_structural)")
 def pool_rules(spark, d):
-    links = cut(part_links(spark, d, SPARSE_SINCE))
+    links = cut(part_links(spark, d, STRONGEST))
     nbr = L.neighbours(links)
     return E.pool_rules(I.two_hops(nbr), part_nodes(spark, d, links), nbr, 10)
 
 
 @query(f"WITH {SPARSE}, {NODES}, {_HOPS} SELECT round(avg(cn), 6) AS mean_shared, round(avg(hub), 6) AS mean_hub, round(avg(CASE WHEN hub > 20 THEN 1 ELSE 0 END), 6) AS hub_share, round(avg(CASE WHEN x.community <> y.community THEN 1 ELSE 0 END), 6) AS cross_share FROM aa JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b")
 def composition(spark, d):
-    links = cut(part_links(spark, d, SPARSE_SINCE))
+    links = cut(part_links(spark, d, STRONGEST))
     nbr = L.neighbours(links)
     return rounded(E.composition(R.adamic_adar(I.two_hops(nbr), nbr), part_nodes(spark, d, links)))
 
@@ -744,5 +778,5 @@ def degree_quantiles(spark, d):
 
 @query(f"WITH {SPARSE}, {SOURCES}, {_HOPS}, s AS (SELECT id, list(source) AS s FROM src GROUP BY id) SELECT a, b, x.d * y.d AS attachment, round(coalesce(len(list_intersect(sa.s, sb.s)) / CAST(len(list_distinct(sa.s || sb.s)) AS DOUBLE), 0), 6) AS set_jaccard FROM pool JOIN deg x ON x.id = a JOIN deg y ON y.id = b LEFT JOIN s sa ON sa.id = a LEFT JOIN s sb ON sb.id = b")
 def extra_scores(spark, d):
-    nbr = cut(L.neighbours(part_links(spark, d, SPARSE_SINCE)))
+    nbr = cut(L.neighbours(part_links(spark, d, STRONGEST)))
     return rounded(E.extra_scores(I.two_hops(nbr), nbr, part_sources(spark, d).withColumnRenamed("source", "item")))

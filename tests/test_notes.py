@@ -123,3 +123,48 @@ def test_filters(spark):
 def test_auc_counts_ties_half(spark):
     df = spark.createDataFrame([(1.0, 1), (1.0, 0), (0.0, 0)], "score double, positive long")
     assert auc(df).first().auc == 0.75
+
+
+def test_heads_end_on_a_line_of_their_own(spark):
+    raw = spark.createDataFrame([("a.md", "---\ntitle: foo---\ntype: concept\n---\nbody"), ("b.md", "---\ntype: entity\n---\n## Head ##\n"), ("c.md", "no head\n---\n")], "path string, content string")
+    got = {r.id: (r.raw_type, r.title) for r in parse_notes(raw).collect()}
+    assert got == {"a": ("concept", "foo---"), "b": ("entity", "Head"), "c": ("", "c")}
+
+
+def test_related_entries_and_tags(spark):
+    row = spark.range(1).select(S.related_key(F.lit("[[dir\\Page.md|x]]")).alias("r"), S.clean_tags(F.array(F.lit("##two"), F.lit("#one"))).alias("t")).first()
+    assert (row.r, row.t) == ("Page", ["#two", "one"])
+
+
+def test_mentions_of_pages_that_share_a_name(spark):
+    notes = spark.createDataFrame([(1, "All about vector search here, and İstanbul Vector Search too."), (2, "# generic\nA line."), (3, "Generic. More on generic things.")], "id long, body string")
+    terms = spark.createDataFrame([(10, "Vector Search"), (11, "vector search"), (2, "Generic"), (12, "generic"), (13, "generic"), (14, "other name")], "target long, term string")
+    got = {(r.source, r.target): (r.occurrences, r.term) for r in K.mentions(notes, terms, spark.createDataFrame([], "id long, nbr long")).collect()}
+    # a heading counts only for names that few pages bear, and "Generic." is a sentence of its own
+    assert got == {(1, 10): (2, "vector search"), (1, 11): (2, "vector search"), (3, 2): (1, "generic"), (3, 12): (1, "generic"), (3, 13): (1, "generic")}
+
+
+def test_previous_keys_and_dropped(spark):
+    rows = [(f"k{i}", "sparse", "gaps", 0.5 + i / 100, 2, "edit", "moderate") for i in range(6)]
+    df = spark.createDataFrame(rows, "key string, kind string, analyser string, score double, severity int, effort string, confidence string")
+    got = X.rank_findings(df, {"gaps": 2}, previous_keys={"k3"}).orderBy("rank").collect()
+    assert [r.key for r in got] == ["k3", "k5"] and {r.dropped for r in got} == {4}
+    assert [r.key for r in X.rank_findings(df, {"gaps": 2}).orderBy("rank").collect()] == ["k5", "k4"]
+
+
+def test_findings_are_whole(spark):
+    from graphloom.plans.engine import analyse, build_graph
+
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
+    notes = [(f"n/{w}.md", f"---\ntype: concept\n---\n# {w} page\nSee " + " ".join(f"[[{x}]]" for x in words if x != w and (len(w) + len(x)) % 2)) for w in words]
+    notes.append(("n/alone.md", "---\ntype: entity\n---\nOnly words on the alpha page of old."))
+    raw = spark.createDataFrame([(p, c, 0, 0) for p, c in notes], "path string, content string, created long, modified long")
+    series = spark.createDataFrame([("topic", k, 20 if k > 27 else 1, ["n/alpha"]) for k in range(30)], "term string, bucket long, n long, ids array<string>")
+    graph = build_graph(raw)
+    got = analyse(graph, 40 * 86_400_000, series=series).collect()
+    kinds = {r.kind for r in got}
+    assert {"orphan-aging", "emerging-topic", "unlinked-mention"} <= kinds
+    old = next(r for r in got if r.kind == "orphan-aging")
+    assert old.severity == 2 and list(old.anchors) == ["n/alone"] and old.evidence[0].label == "days" and len(old.fp) == 64
+    said = next(r for r in got if r.kind == "unlinked-mention")
+    assert said.action == "insert-link" and set(said.anchors) == {"n/alone", "n/alpha"} and said.title == "alpha page"
