@@ -134,7 +134,8 @@ class Model:
         self.index = BlockMaxIndex(vectors)
         self.knots = np.array([[0.0, 0.0]])
         bare = ~vectors.filled
-        self.bare = float((self.weight * self.toxic)[bare].sum() / self.weight[bare].sum()) if bare.any() else 0.0
+        # nothing speaks against a text without any term, so it isn't rejected whatever the share of toxic ones
+        self.bare = min(0.499, float((self.weight * self.toxic)[bare].sum() / self.weight[bare].sum())) if bare.any() else 0.0
         if len(kept := np.flatnonzero(~bare)):
             votes, _, _ = self.votes(vectors.take(kept), kept)
             self.knots = monotone(votes, self.toxic[kept], self.weight[kept])
@@ -282,7 +283,7 @@ def score(docs: DataFrame, model: Model, *, evidence: int = 3) -> DataFrame:
     """doc_id, score, predicted, evidence (doc_id, cosine, toxic of the nearest examples) of every text of docs.
 
     A text without any of the model's terms, null and empty ones among them, scores
-    what the sample's texts without any do.  Rows stay rows, repeated ones too, very
+    what the sample's texts without any do, below one half.  Rows stay rows, repeated ones too, very
     long texts count whole, and of an empty table nothing comes.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
