@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Words, fold, mix, release, slices, stage
+from graphloom.llm.common import Words, fold, mix, release, slices, stage, tidy
 
 #: Probes per entry, and bits that an entry needs.
 PROBES, PER_ENTRY = 4, 10
 #: Tokens that a segment gets, about, at most.
 PER_SEGMENT = 1 << 21
 #: Bytes of a filter that is sent to the workers, at most.
-BROADCAST = 64 << 20
+BROADCAST = 128 << 20
 #: Words whose counts are sent to the workers, at most.
 COMMON = 400_000
 #: How many observations the word model counts for.
@@ -96,7 +96,23 @@ class LogBloom:
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
     """The segment of each n-gram, by the top bits of its hash."""
-    return ((hashes >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+    return ((hashes >> np.uint64(16)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams as the filter knows them: 48 bits, of which false answers come from far more seldom than from the filter."""
+    return hashes >> np.uint64(16)
+
+
+def six(hashes: np.ndarray) -> bytes:
+    """Short hashes in six bytes each."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unsix(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def one_segment(bits: np.ndarray) -> LogBloom:
@@ -137,14 +153,25 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], ["h", "c"])
 
 
+#: How counts of words and of pairs are packed; a larger count is cut into several.
+_COUNTS = (np.uint32, np.uint8)
+
+
 def _packed(hashes: np.ndarray, counts: np.ndarray, segments: int, kind: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (segment, kind, hashes, counts) of sorted hashes; segments are ranges of hashes."""
+    """Rows of (segment, kind, hashes, counts) of sorted short hashes; segments are ranges of hashes."""
+    most = np.iinfo(_COUNTS[kind]).max
+    if len(counts) and counts.max() > most:
+        times = -(-counts // most)
+        last = np.cumsum(times) - 1
+        hashes, rest = np.repeat(hashes, times), counts - (times - 1) * most
+        counts = np.full(len(hashes), most)
+        counts[last] = rest
     edges = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
     filled = np.flatnonzero(np.diff(edges))
-    wide = np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+    small = counts.astype(_COUNTS[kind])
     for at in range(0, len(filled), 1_024):
         some = filled[at : at + 1_024]
-        blobs = [[x[edges[k] : edges[k + 1]].tobytes() for k in some] for x in (hashes, wide)]
+        blobs = [six(hashes[edges[k] : edges[k + 1]]) for k in some], [small[edges[k] : edges[k + 1]].tobytes() for k in some]
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), *[pa.array(x, pa.binary()) for x in blobs]], ["segment", "kind", "hashes", "counts"])
 
 
@@ -153,10 +180,9 @@ def _build_segment(table: pa.Table) -> pa.Table:
     for kind, base in enumerate(BASES):
         mine = table.filter(pa.array(kinds == kind))
         if mine.num_rows:
-            each = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in mine["hashes"]])
-            found, back = np.unique(each, return_inverse=True)
+            found, back = np.unique(unsix(b"".join(mine["hashes"].to_pylist())), return_inverse=True)
             hashes.append(found)
-            levels.append(LogBloom.level(np.bincount(back, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in mine["counts"]])), base))
+            levels.append(LogBloom.level(np.bincount(back, np.frombuffer(b"".join(mine["counts"].to_pylist()), _COUNTS[kind])), base))
     bits = fill(np.concatenate(hashes), np.concatenate(levels))
     return pa.table({"segment": pa.array([table["segment"][0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary()), "size": pa.array([len(bits)], pa.int64())})
 
@@ -166,8 +192,8 @@ class Grams:
 
     def __init__(self, hashes: np.ndarray, first: np.ndarray):
         self.words, self.word = np.unique(hashes, return_inverse=True)
-        both, self.pair = np.unique(pairs(hashes, first), return_inverse=True)
-        self.keys = np.concatenate([mix(self.words ^ WORD), both])
+        both, self.pair = np.unique(short(pairs(hashes, first)), return_inverse=True)
+        self.keys = np.concatenate([short(mix(self.words ^ WORD)), both])
         self.first = first
 
     def log10(self, levels: np.ndarray, norm: float) -> np.ndarray:
@@ -192,9 +218,14 @@ class Model:
 
     def whole(self) -> LogBloom:
         """The filter in one piece."""
-        rows = {r.segment: r.bits for r in self.built.select("segment", "bits").collect()}
-        parts = [np.frombuffer(rows.get(k, bytes(8)), np.uint8) for k in range(self.segments)]
-        return LogBloom(np.concatenate(parts), 8 * np.concatenate([[0], np.cumsum([len(x) for x in parts])]))
+        size = np.full(self.segments, 8)
+        for r in self.built.select("segment", "size").collect():
+            size[r.segment] = r["size"]
+        edges = np.concatenate([[0], np.cumsum(size)])
+        bits = np.zeros(edges[-1], np.uint8)
+        for r in self.built.select("segment", "bits").toLocalIterator():
+            bits[edges[r.segment] : edges[r.segment + 1]] = np.frombuffer(r.bits, np.uint8)
+        return LogBloom(bits, 8 * edges)
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -217,17 +248,18 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     def pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                yield from _packed(*np.unique(pairs(*tokens(part.column(0))), return_counts=True), segments, 1)
+                yield from _packed(*np.unique(short(pairs(*tokens(part.column(0)))), return_counts=True), segments, 1)
 
     def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = mix(batch.column(0).to_numpy().view(np.uint64) ^ WORD)
+            keys = short(mix(batch.column(0).to_numpy().view(np.uint64) ^ WORD))
             order = np.argsort(keys)
             yield from _packed(keys[order], batch.column(1).to_numpy()[order], segments, 0)
 
     schema = "segment int, kind int, hashes binary, counts binary"
     packed = texts.mapInArrow(pack_pairs, schema).unionByName(counts.mapInArrow(pack_words, schema))
     built = stage(packed.groupBy("segment").applyInArrow(_build_segment, "segment int, bits binary, size long"))
+    tidy(docs.sparkSession)
     return Model(built, segments, int(n), int(v), common, often), counts
 
 
@@ -290,12 +322,12 @@ def _seen_by_segment(texts: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 keys = np.sort(Grams(*tokens(batch.column(2)[k].values)).keys)
-                for part in _packed(keys, np.zeros(0), segments, 0):
+                for part in _packed(keys, np.zeros(0, np.int64), segments, 0):
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(part.num_rows, batch.column(0)[k].as_py())), part.column(2)], ["segment", "slice", "hashes"])
 
     def probe(asked: pa.Table, built: pa.Table) -> pa.Table:
         bloom = one_segment(np.frombuffer(built["bits"][0].as_py(), np.uint8)) if built.num_rows else None
-        levels = [bloom.levels(h).astype(np.uint8).tobytes() if bloom else bytes(len(h)) for h in (np.frombuffer(x.as_py(), np.uint64) for x in asked["hashes"])]
+        levels = [bloom.levels(h).astype(np.uint8).tobytes() if bloom else bytes(len(h)) for h in map(unsix, asked["hashes"].to_pylist())]
         return pa.table({"slice": asked["slice"], "segment": asked["segment"], "levels": pa.array(levels, pa.binary())})
 
     def rate(given: pa.Table, answers: pa.Table) -> pa.Table:

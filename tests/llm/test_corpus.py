@@ -109,12 +109,15 @@ def test_documents_that_occur_twice_score_apart(spark):
 
 def test_bloom_levels():
     rng = np.random.default_rng(0)
-    h = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    h = np.unique(bloomlm.short(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)))
+    assert (bloomlm.unsix(bloomlm.six(h)) == h).all()
     levels = bloomlm.LogBloom.level(rng.integers(1, 5_000, len(h)), 2.0)
     f = bloomlm.one_segment(bloomlm.fill(h, levels))
     got = f.levels(h)
     assert (got >= levels).all() and (got == levels).mean() > 0.95
-    assert (f.levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
+    assert (f.levels(bloomlm.short(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))) > 0).mean() < 0.05
+    parts = list(bloomlm._packed(h[:3], np.array([1, 700, 255]), 1, 1))[0]
+    assert bloomlm.unsix(parts.column(2)[0].as_py()).tolist() == h[[0, 1, 1, 1, 2]].tolist() and list(parts.column(3)[0].as_py()) == [1, 255, 255, 190, 255]
 
 
 def test_neighbours_against_brute_force(spark):
