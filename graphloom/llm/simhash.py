@@ -3,8 +3,8 @@
 The 64 bits fall into segments.  Of two fingerprints that differ in at most four
 bits, some segment differs in at most one (three segments, radius one) or two (two
 segments, radius two), so each fingerprint looks up, part by part, the small Hamming ball around its own
-value in the table of all fingerprints; what is found counts as a link only if
-the complete distance is small enough.  Equal fingerprints are one entry of the
+value in the table of all fingerprints, in the half of greater values; what is
+found counts as a link only if the complete distance is small enough.  Equal fingerprints are one entry of the
 table, so a group of copies costs what one row does.
 """
 
@@ -54,27 +54,34 @@ def fingerprints(docs: DataFrame, *, size: int = 4) -> DataFrame:
 
 
 def balls(distance: int, segments: int) -> list[tuple[int, int, int]]:
-    """(segment, mask, flip) of each lookup: the segment's own value with up to distance // segments bits flipped."""
+    """(mask, flip, top) of each lookup: the segment's own value with up to distance // segments bits flipped, top the greatest of them.
+
+    A flip holds the bit after the segment too, which marks keys as this segment's.
+    """
     radius, out = distance // segments, []
     edges = [64 * k // segments for k in range(segments + 1)]
-    for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-        mask, flips = (1 << high) - (1 << low), {0}
+    for low, high in zip(edges, edges[1:], strict=False):
+        mask, mark, flips = (1 << high) - (1 << low), 1 << high % 64, {0}
         for _ in range(radius):
             flips |= {f ^ (1 << bit) for f in flips for bit in range(low, high)}
-        out += [(k, mask, flip) for flip in sorted(f for f in flips if f.bit_count() <= radius)]
-    return [(k, *(x - (1 << 64) if x >> 63 else x for x in pair)) for k, *pair in out]
+        out += [(mask, f | mark, f and 1 << f.bit_length() - 1) for f in sorted(flips) if f.bit_count() <= radius]
+    return [tuple(x - (1 << 64) if x >> 63 else x for x in probe) for probe in out]
 
 
 def links(table: DataFrame, *, distance: int = 4, segments: int = 3) -> DataFrame:
-    """Pairs a < b of distinct values of column fp that differ in at most distance bits."""
+    """Pairs a < b of distinct values of column fp that differ in at most distance bits.
+
+    Where two values of a segment differ, only the lesser looks the greater one up:
+    a pair needs to be met from one side, and half of each ball suffices.
+    """
     probes = balls(distance, segments)
-    literal = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).cast("long").alias("m"), F.lit(f).cast("long").alias("f")) for k, m, f in probes])
-    whole = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).cast("long").alias("m")) for k, m, f in probes if not f])
-    ask = table.select(F.col("fp").alias("a"), F.explode(literal).alias("p")).select("a", "p.k", F.col("a").bitwiseAND(F.col("p.m")).bitwiseXOR(F.col("p.f")).alias("key"))
-    have = table.select(F.col("fp").alias("b"), F.explode(whole).alias("p")).select("b", "p.k", F.col("b").bitwiseAND(F.col("p.m")).alias("key"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    found = ask.alias("x").join(have.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.key") == F.col("y.key")) & near)
-    return found.select("a", "b").distinct()
+    structs = lambda found: F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip("mft", p, strict=True)]) for p in found])
+    key = lambda fp: F.col(fp).bitwiseAND(F.col("p.m")).bitwiseXOR(F.col("p.f")).alias("key")
+    ask = table.select(F.col("fp").alias("x"), F.explode(structs(probes)).alias("p")).where(F.col("x").bitwiseAND(F.col("p.t")) == 0).select("x", key("x"))
+    have = table.select(F.col("fp").alias("y"), F.explode(structs([p for p in probes if not p[2]])).alias("p")).select("y", key("y"))
+    near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)
+    found = ask.alias("ask").join(have.alias("have"), (F.col("ask.key") == F.col("have.key")) & near)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
