@@ -270,6 +270,22 @@ def test_similar_passages_share_a_run():
         assert set(sign[doc == 0].tolist()) & set(sign[doc == 1].tolist())
 
 
+def test_tokens_in_order_equal_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        a, b = (rng.integers(0, rng.integers(1, 20), rng.integers(1, 40)).astype(np.uint64) for _ in range(2))
+        shift, drift = int(rng.integers(-45, 45)), int(rng.integers(0, 20))
+        want, top = [], -1
+        for p in range(len(a)):
+            spots = np.flatnonzero(b == a[p]).tolist()
+            q = min(spots, key=lambda q: (abs(p - q - shift), q), default=None)
+            if q is not None and abs(p - q - shift) <= drift:
+                want += [(p, q)] if q > top else []
+                top = max(top, q)
+        p, q = passages.in_order(a, b, shift, drift)
+        assert list(zip(p.tolist(), q.tolist(), strict=True)) == want
+
+
 def test_alike_reaches_the_ends_and_parts():
     rng = random.Random(10)
     word = lambda: f"w{rng.randrange(10**9)}"
