@@ -188,7 +188,7 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 2):
+        for part in slices(batch, 2, 1 << 20):
             words = Words(part.column(2), bare=True)
             h = words.hashes().view(np.int64)
             found = [np.unique(h[a:b], return_counts=True) for a, b in zip(words.first, words.first[1:], strict=False)]
