@@ -147,7 +147,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias(rows))
     marked = stage(marked.where("doc_id = c").select(F.col("doc_id").alias(ident), rows))
     single = docs.join(marked.where(F.col(rows) == 1), docs["doc_id"] == F.col(ident), "left_semi")
-    several = docs.join(marked.where(F.col(rows) > 1), docs["doc_id"] == F.col(ident), "left_semi")
+    out = single.select(*own).unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    again = marked.where(F.col(rows) > 1)
+    if again.isEmpty():  # no doc_id is repeated, so docs needn't be dealt out a second time
+        return out
+    several = docs.join(again, docs["doc_id"] == F.col(ident), "left_semi")
     # least first, before and after the shuffle: the rows of one doc_id never meet
     several = several.groupBy(F.col("doc_id").alias(ident)).agg(F.min_by(F.struct(*own), F.struct("text")).alias(row)).select(f"{row}.*")
-    return single.select(*own).unionByName(several).unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    return out.unionByName(several)
