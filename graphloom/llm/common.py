@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; bounds a worker's memory.
 SLICE_BYTES = 8 << 20
+#: Bits of a table that sift() broadcasts, at most: 8 MB, in rows of PAGE_BITS.
+SIEVE_BITS, PAGE_BITS = 1 << 26, 1 << 15
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -91,6 +93,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sift(df: DataFrame, on: list[str], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose columns on, of whole numbers, may be a row of keys, and those whose surely aren't.
+
+    A join on the first part alone then needs no shuffle of the second.  Keys are
+    known by one bit each, 16 bits a key and SIEVE_BITS in all: with very many keys
+    more rows, at last all, come in the first part, and what is joined stays exact.
+    A null is no key.  keys is read twice, so it should be a staged table.
+    """
+    (page, bits), names = unused(df, "page", "bits"), list(on)
+    size = max(PAGE_BITS, min(SIEVE_BITS, 1 << (16 * keys.count()).bit_length()))
+    spot = F.pmod(F.xxhash64(*(F.col(c).cast("long") for c in names)), F.lit(size))
+    place = spot % PAGE_BITS
+    table = keys.select(F.floor(spot / PAGE_BITS).alias(page), place.alias(bits)).repartition(page).groupBy(page).agg(F.bitmap_construct_agg(bits).alias(bits))
+    octet = F.conv(F.hex(F.substring(F.col(bits), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    marked = df.withColumn(page, F.floor(spot / PAGE_BITS)).join(F.broadcast(table), page, "left")
+    there = F.coalesce(F.getbit(octet, (place % 8).cast("int")) == 1, F.lit(False))
+    for c in names:
+        there &= F.col(c).isNotNull()
+    return marked.where(there).select(*df.columns), marked.where(~there).select(*df.columns)
+
+
 def fold(key: Column | str, modulus: int) -> Column:
     """crc32 of a key as text, modulo modulus; a null key counts as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string") if isinstance(key, str) else key.cast("string"), F.lit(""))) % modulus

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stage, unused
+from graphloom.llm.common import sift, stage, unused
 
 #: Distinct fingerprints up to which three segments are used; beyond it their 21 bits would be shared by too many, and two are.
 FEW = 1 << 24
@@ -145,13 +145,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     own, (ident, rows, row) = docs.columns, unused(docs, "ident", "rows", "row")
     marked = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias(rows))
-    marked = stage(marked.where("doc_id = c").select(F.col("doc_id").alias(ident), rows))
-    single = docs.join(marked.where(F.col(rows) == 1), docs["doc_id"] == F.col(ident), "left_semi")
-    out = single.select(*own).unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
-    again = marked.where(F.col(rows) > 1)
-    if again.isEmpty():  # no doc_id is repeated, so docs needn't be dealt out a second time
+    # only the documents that go, or whose doc_id is repeated, need be dealt out
+    odd = stage(marked.where((F.col("doc_id") != F.col("c")) | (F.col(rows) > 1)).select("doc_id", F.col("doc_id").alias(ident), "c", rows))
+    maybe, other = sift(docs.where("doc_id IS NOT NULL"), ["doc_id"], odd)
+    out = other.unionByName(maybe.join(odd.select(ident), docs["doc_id"] == F.col(ident), "left_anti"))
+    out = out.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    again = odd.where(f"doc_id = c AND {rows} > 1").select(ident)
+    if again.isEmpty():
         return out
-    several = docs.join(again, docs["doc_id"] == F.col(ident), "left_semi")
+    several = maybe.join(again, docs["doc_id"] == F.col(ident), "left_semi")
     # least first, before and after the shuffle: the rows of one doc_id never meet
     several = several.groupBy(F.col("doc_id").alias(ident)).agg(F.min_by(F.struct(*own), F.struct("text")).alias(row)).select(f"{row}.*")
     return out.unionByName(several)
