@@ -16,6 +16,7 @@ from graphloom.llm.pieces import op5_sentencepiece
 from graphloom.llm.simhash import op2_simhash_near_dedup
 from graphloom.llm.sketch import op3_document_fingerprints
 from graphloom.llm.toxicity import op9_toxicity
+from graphloom.llm.whitening import op12_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL}
