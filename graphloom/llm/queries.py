@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.alignment import op13_token_alignment
 from graphloom.llm.annsearch import op8_nearest_neighbours
 from graphloom.llm.bloomlm import op7_lm_scoring
 from graphloom.llm.chat import OP4_SQL, op4_chat_formatting
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL}
