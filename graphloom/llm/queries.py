@@ -10,6 +10,7 @@ from graphloom.llm.alignment import op13_token_alignment
 from graphloom.llm.annsearch import op8_nearest_neighbours
 from graphloom.llm.bloomlm import op7_lm_scoring
 from graphloom.llm.chat import OP4_SQL, op4_chat_formatting
+from graphloom.llm.jaccard import op11_ngram_jaccard_join
 from graphloom.llm.langid import op1_language_id
 from graphloom.llm.mixing import op6_mixing
 from graphloom.llm.passages import op10_substring_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_token_alignment": op13_token_alignment,
 }
