@@ -659,12 +659,27 @@ def duplicate_names(spark, d):
     return rounded(K.duplicate_names(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))))
 
 
-@query()
+_WORD = "[0-9A-Za-zÀ-ɏ]+"
+# emphasis, table rows and line ends go; documents hold neither code nor headings
+_PLAIN = "plain AS (SELECT id, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(text, '\\*\\*|__', '', 'g'), '[*_]([\\p{L}\\p{N}_])', '\\1', 'g'), '\\r?\\n'), lambda x: NOT starts_with(ltrim(x), '|')), ' ') AS p FROM titled)"
+
+
+@query(
+    "WITH titled AS (SELECT doc_id AS id, lower(regexp_extract(text, '([A-Za-z]{7,})', 1)) AS title, text FROM documents WHERE regexp_matches(text, '[A-Za-z]{7,}')), "
+    f"n AS (SELECT count(*) AS n FROM titled), {_PLAIN}, "
+    "cut_ AS (SELECT id, string_split_regex(p, '[。！？.!?;；]') AS s FROM plain), "
+    "sentences AS (SELECT id, unnest(s) AS s, unnest(range(len(s))) AS i, len(s) AS m FROM cut_), "
+    # a word that is a whole sentence is a label
+    f"words AS (SELECT id, i, unnest(regexp_extract_all(s, '{_WORD}')) AS w, unnest(range(len(regexp_extract_all(s, '{_WORD}')))) AS j FROM sentences WHERE NOT (i < m - 1 AND regexp_matches(s, '^ *{_WORD}$'))), "
+    "met AS (SELECT id AS source, lower(w) AS term, count(*) AS occurrences, arg_min(w, i * 1000000 + j) AS spelling FROM words WHERE lower(w) IN (SELECT title FROM titled) GROUP BY 1, 2), "
+    'usual AS (SELECT term, sum(occurrences) AS a FROM met, n GROUP BY term HAVING sum(occurrences) <= greatest(2, ceil(any_value(n) * 0.5))) '
+    "SELECT source, t.id AS target, spelling AS term, occurrences, round(greatest(0, 1 - a / CAST(n AS DOUBLE)), 6) AS specificity FROM met JOIN usual USING (term) JOIN titled t ON t.title = term, n WHERE source <> t.id AND abs(source - t.id) <> 1"
+)
 def mentions(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(r"\b(\p{L}{9,12})\b"), 1))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 3")
-    terms = words.select((-F.abs(F.hash("term")).cast("long") - 1).alias("target"), "term")
-    return rounded(K.mentions(docs, terms, spark.createDataFrame([], "id long, nbr long")))
+    """Documents are notes whose title is their first long word; each is linked with the next."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.regexp_extract("text", "([A-Za-z]{7,})", 1).alias("title"))
+    linked = docs.select("id", F.explode(F.array(F.col("id") - 1, F.col("id") + 1)).alias("nbr"))
+    return rounded(K.mentions(docs, docs.select(F.col("id").alias("target"), F.col("title").alias("term")), linked).drop("preview", "place"))
 
 
 @query()

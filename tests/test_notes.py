@@ -64,7 +64,7 @@ def test_history_reads_what_can_be_read(spark, tmp_path):
 
 def test_mentions(spark):
     notes = spark.createDataFrame([(1, "We met Graph Theory today. Not Graph Theorys."), (2, "Graph Theory is mine"), (3, "`Graph Theory` only in code"), (4, "nothing"), (5, "none"), (6, "no")], "id long, body string")
-    terms = spark.createDataFrame([(2, "Graph Theory"), (9, "abc")], "target long, term string")
+    terms = spark.createDataFrame([(1, "A first page"), (2, "Graph Theory"), (3, "A third page"), (9, "abc")], "target long, term string")
     none = spark.createDataFrame([], "id long, nbr long")
     got = K.mentions(notes, terms, none).collect()
     assert [(r.source, r.target, r.occurrences) for r in got] == [(1, 2, 1)]
@@ -138,7 +138,7 @@ def test_related_entries_and_tags(spark):
 
 def test_mentions_of_pages_that_share_a_name(spark):
     notes = spark.createDataFrame([(1, "All about vector search here, and İstanbul Vector Search too."), (2, "# generic\nA line."), (3, "Generic. More on generic things.")], "id long, body string")
-    terms = spark.createDataFrame([(10, "Vector Search"), (11, "vector search"), (2, "Generic"), (12, "generic"), (13, "generic"), (14, "other name")], "target long, term string")
+    terms = spark.createDataFrame([(10, "Vector Search"), (11, "vector search"), (2, "Generic"), (12, "generic"), (13, "generic"), (14, "other name"), (1, "page one"), (3, "page three")], "target long, term string")
     got = {(r.source, r.target): (r.occurrences, r.term) for r in K.mentions(notes, terms, spark.createDataFrame([], "id long, nbr long")).collect()}
     # a heading counts only for names that few pages bear, and "Generic." is a sentence of its own
     assert got == {(1, 10): (2, "vector search"), (1, 11): (2, "vector search"), (3, 2): (1, "generic"), (3, 12): (1, "generic"), (3, 13): (1, "generic")}
