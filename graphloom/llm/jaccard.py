@@ -38,7 +38,7 @@ SPARE = 1.3
 #: Sets, and shingles, of a block at most; a larger set is a block of its own.
 BLOCK_SETS, BLOCK_SHINGLES = 1_024, 400_000
 #: Bytes of text that are tokenised at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 class Bands:
@@ -303,10 +303,8 @@ def near_classes(docs: DataFrame, *, size: int = 4, percent: int = 85) -> DataFr
     every = stage(sketches(docs, size=size, percent=percent))
     # equal sets are one node: only rows that another row stands for need be dealt out
     first = every.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
-    again = first.where("copies > 1").select("node", F.col("row").alias("stands"))
-    maybe, single = sift(every.where("node IS NOT NULL"), ["node"], stage(again.select("node")))
-    of_copies = maybe.join(again, "node", "left").where("stands IS NULL OR row = stands").drop("stands")
-    nodes = single.unionByName(of_copies)
+    maybe, single = sift(every.where("node IS NOT NULL"), ["node"], stage(first.where("copies > 1").select("node")))
+    nodes = single.unionByName(maybe.join(first.select("row"), "row", "left_semi"))
     keys = nodes.select("node", F.explode("keys").alias("key"))
     met = stage(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("n > 1"))
     several = stage(met.where("n > 2").select("key"))
