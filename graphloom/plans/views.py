@@ -45,3 +45,19 @@ def part_nodes(spark: SparkSession, sf_dir: str, links: DataFrame) -> DataFrame:
     ships = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.min(millis(F.col("l_shipdate"))).alias("created"), F.max(millis(F.col("l_shipdate"))).alias("modified"))
     d = degrees(n, links)
     return n.join(ships, "id", "left").join(d, "id").withColumn("vault_link_count", F.col("link_count"))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: a web page and every address that it links to, on its own host unless told; sparse by nature, as many addresses stand on one page only."""
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("src"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.explode(hrefs).alias("href"))
+    return pages.select("src", F.when(F.startswith("href", F.lit("/")), F.concat("host", "href")).otherwise(F.col("href")).alias("dst")).distinct()
+
+
+def page_nodes(links: DataFrame) -> DataFrame:
+    """id, is_structural, community of both ends of page_links: an address that names scaffolding is that, and pages are in one community with the first address that they link to."""
+    from graphloom.functions.scalars import basename, structural_name
+
+    first = links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("community"))
+    to = links.select(F.col("dst").alias("id"), F.col("dst").alias("community")).distinct()
+    return first.unionByName(to).withColumn("is_structural", structural_name(basename(F.col("id"))))

@@ -21,10 +21,10 @@ from graphloom.operators import relevance as R
 from graphloom.operators import reports as O
 from graphloom.operators import structure as G
 from graphloom.operators import trends as T
-from graphloom.operators.edit import insert_links
+from graphloom.operators.edit import apply_edits, insert_links, perform
 from graphloom.operators.parse import parse_notes
 from graphloom.plans.engine import analyse, build_graph
-from graphloom.plans.views import BAREST, STRONGEST, part_links, part_nodes, part_sources, table
+from graphloom.plans.views import BAREST, STRONGEST, page_links, page_nodes, part_links, part_nodes, part_sources, table
 from graphloom.sources import vault
 from graphloom.streaming.history import first_seen_updates, keep_history, latest
 
@@ -207,11 +207,19 @@ def community_remap(spark, d):
 
 @query()
 def louvain(spark, d):
-    links = part_links(spark, d, STRONGEST)
+    """Communities of all links of parts, by bulk moves and contraction."""
+    links = part_links(spark, d)
     edges = L.undirected(links).withColumn("weight", F.lit(1.0))
     return C.louvain(table(spark, d, "part").select(F.col("p_partkey").alias("id")), edges)
 
 
+@query(f"WITH {LINKS}, of AS (SELECT p_partkey AS id, p_size % 8 AS c FROM part), e AS (SELECT x.c AS ca, y.c AS cb FROM und JOIN of x ON x.id = a JOIN of y ON y.id = b), k AS (SELECT c, count(*) AS k FROM (SELECT ca AS c FROM e UNION ALL SELECT cb FROM e) GROUP BY c), m AS (SELECT count(*) AS m, count(*) FILTER (ca = cb) AS i FROM e) SELECT round(any_value(i) / CAST(any_value(m) AS DOUBLE) - sum(CAST(k AS DOUBLE) * k) / (4.0 * any_value(m) * any_value(m)), 6) AS modularity FROM k, m")
+def modularity(spark, d):
+    """How well the sizes of parts, modulo eight, would do as communities."""
+    of = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.pmod("p_size", F.lit(8)).alias("community"))
+    return rounded(C.modularity(of, L.undirected(part_links(spark, d)).withColumn("weight", F.lit(1.0))))
+
+
 @query()
 def label_groups(spark, d):
     edges = cut(L.undirected(part_links(spark, d, STRONGEST)).withColumn("weight", F.lit(1.0)))
@@ -269,21 +277,36 @@ def label_components(spark, d):
 # ---------------------------------------------------------------- structure
 
 
-@query()
-def cut_vertices(spark, d):
-    nodes, edges = sparse_graph(spark, d, BAREST)
-    found = G.cut_analysis(nodes.select("id"), edges)
-    return rounded(G.cut_findings(nodes, cut(found)))
+PAGES = """
+hrefs AS (SELECT 'page ' || page_id AS src, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages),
+links AS (SELECT DISTINCT src, CASE WHEN starts_with(href, '/') THEN host || href ELSE href END AS dst FROM hrefs),
+und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM links WHERE src <> dst),
+nbr AS (SELECT a AS id, b AS nbr FROM und UNION ALL SELECT b, a FROM und)"""
+# by definition: what each neighbour of a page reaches without it
+_CUT = (
+    f"{PAGES}, r AS (SELECT id AS v, nbr AS s, nbr AS x FROM nbr UNION SELECT r.v, r.s, n.nbr FROM r JOIN nbr n ON n.id = r.x WHERE n.nbr <> r.v), "
+    "sides AS (SELECT DISTINCT v, m, n FROM (SELECT v, s, min(x) AS m, count(*) AS n FROM r GROUP BY v, s)), "
+    "cuts AS (SELECT v AS id, CAST(sum(n) - max(n) AS BIGINT) AS separated FROM sides GROUP BY v HAVING count(*) > 1), "
+    "q AS (SELECT a, b, a AS x FROM und UNION SELECT q.a, q.b, n.nbr FROM q JOIN nbr n ON n.id = q.x WHERE NOT (n.id = q.a AND n.nbr = q.b)), "
+    "bridges AS (SELECT a, b FROM und EXCEPT SELECT a, b FROM q WHERE x = b)"
+)
 
 
 @query(
-    f"WITH RECURSIVE {BARE}, reach AS (SELECT src AS start, dst AS tip FROM links UNION SELECT start, l.dst FROM reach JOIN links l ON l.src = tip) "
-    # with one successor each, only links on a circle of three or more aren't bridges
-    "SELECT a, b FROM und EXCEPT SELECT least(x.src, x.dst), greatest(x.src, x.dst) FROM links x WHERE x.src IN (SELECT start FROM reach WHERE start = tip) AND NOT EXISTS (SELECT 1 FROM links y WHERE y.src = x.dst AND y.dst = x.src)"
+    f"WITH RECURSIVE {_CUT} SELECT id, separated, round(separated / (separated + 5.0), 6) AS score, 1 + separated + CASE WHEN id IN (SELECT a FROM bridges UNION SELECT b FROM bridges) THEN 1 ELSE 0 END AS evidence, CASE WHEN separated > 0 THEN 'strong' ELSE 'moderate' END AS confidence "
+    "FROM cuts WHERE NOT regexp_matches(lower(split_part(id, '/', -1)), '^(index|overview|log|purpose|schema|moc)($|[^0-9A-Za-z_])') AND lower(split_part(id, '/', -1)) NOT IN ('home', 'readme', 'inbox')"
 )
+def cut_vertices(spark, d):
+    """All cut pages of the web's links, with what each would part from the rest."""
+    links = cut(page_links(spark, d))
+    nodes = page_nodes(links)
+    return rounded(G.cut_findings(nodes, cut(G.cut_analysis(nodes.select("id"), L.undirected(links))), k=None))
+
+
+@query(f"WITH RECURSIVE {_CUT} SELECT a, b FROM bridges")
 def bridges(spark, d):
-    nodes, edges = sparse_graph(spark, d, BAREST)
-    return G.cut_analysis(nodes.select("id"), edges).where("kind = 'bridge'").select("a", "b")
+    links = cut(page_links(spark, d))
+    return G.cut_analysis(page_nodes(links).select("id"), L.undirected(links)).where("kind = 'bridge'").select("a", "b")
 
 
 @query()
@@ -626,12 +649,14 @@ def parse_wikilinks(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(S.wikilinks(S.strip_code(text)), ",").alias("links"))
 
 
-_FOLDERS = "f AS (SELECT r_name || '/' || n_name || '/c' || c_custkey || '.md' AS path, r_name AS x, r_name || '/' || n_name AS y FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+_FOLDERS = "f AS (SELECT r_name || '/' || n_name || '/c' || c_custkey || '.md' AS path, r_name AS x, r_name || '/' || n_name AS y, n_nationkey AS n, c_custkey AS k, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
 def _customers(spark, d):
+    """Customers as notes in the folders of their nations: path, and n, k, name."""
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return c.select(F.concat_ws("/", "r_name", "n_name", F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".md"))).alias("path"))
+    path = F.concat_ws("/", "r_name", "n_name", F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".md")))
+    return c.select(path.alias("path"), F.col("n_nationkey").alias("n"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
 
 
 @query(f"WITH {_FOLDERS} SELECT x AS path, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT y, count(*) FROM f GROUP BY 1 UNION ALL SELECT '', 0")
@@ -641,7 +666,7 @@ def folder_rollup(spark, d):
 
 @query(f"WITH {_FOLDERS} SELECT path FROM f WHERE x = 'ASIA' AND y <> 'ASIA/CHINA'")
 def workspace_scope(spark, d):
-    return vault.in_scope(_customers(spark, d), "/ASIA/", ["ASIA/CHINA/"])
+    return vault.in_scope(_customers(spark, d), "/ASIA/", ["ASIA/CHINA/"]).select("path")
 
 
 @query("SELECT doc_id FROM documents WHERE strlen(text) <= 2000")
@@ -682,10 +707,54 @@ def mentions(spark, d):
     return rounded(K.mentions(docs, docs.select(F.col("id").alias("target"), F.col("title").alias("term")), linked).drop("preview", "place"))
 
 
-@query()
+# where a document's first long word stands first as a word, and where a bracket group right behind it ends
+_SPOT = (
+    "d AS (SELECT doc_id, text, regexp_extract(text, '([A-Za-z]{5,})', 1) AS term FROM documents), "
+    f"t AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS tok, regexp_extract_all(text, '[^0-9A-Za-zÀ-ɏ]+') AS sep FROM d), "
+    "i AS (SELECT *, CASE WHEN term = '' THEN NULL ELSE list_position(list_transform(tok, lambda x: lower(x)), lower(term)) END AS i FROM t), "
+    "e AS (SELECT *, CASE WHEN i > 0 THEN length(array_to_string(tok[1:i], '')) + length(array_to_string(sep[1:i - CASE WHEN starts_with(text, tok[1]) THEN 1 ELSE 0 END], '')) END AS e FROM i), "
+    "spot AS (SELECT *, e + length(regexp_extract(substr(text, e + 1), '^(\\([^)]{0,200}\\)|（[^）]{0,200}）)')) AS ends FROM e)"
+)
+
+
+@query(
+    f"WITH {_SPOT}, n AS (SELECT doc_id, ends IS NOT NULL AS changed, CASE WHEN ends IS NULL THEN 'term-not-found' END AS reason, coalesce(left(text, ends) || '（[[Target]]）' || substr(text, ends + 1), text) AS c FROM spot) "
+    "SELECT doc_id, changed, reason, length(c) AS n_chars, md5(c) AS digest FROM n"
+)
 def insert_link(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.regexp_extract("text", r"(\p{L}{5,})", 1).alias("term"), F.lit("[[Target]]").alias("text"), F.lit("target").alias("target"))
-    return insert_links(docs).select("doc_id", "edit.changed", "edit.reason", F.length("edit.content").alias("n_chars"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.regexp_extract("text", "([A-Za-z]{5,})", 1).alias("term"), F.lit("[[Target]]").alias("text"), F.lit("target").alias("target"))
+    return insert_links(docs).select("doc_id", "edit.changed", "edit.reason", F.length("edit.content").cast("long").alias("n_chars"), F.md5("edit.content").alias("digest"))
+
+
+@query(
+    f"WITH {_SPOT}, k AS (SELECT doc_id, ends IS NOT NULL AS found, length(left(text, ends)) - length(replace(left(text, ends), chr(10), '')) + 1 AS line, length(regexp_extract(left(text, ends), '[^\n]*$')) AS col FROM spot) "
+    "SELECT doc_id, 1 AS ord, found AS changed, CASE WHEN NOT found THEN 'term-not-found' END AS reason, line, col AS start, col + 7 AS end_ FROM k "
+    "UNION ALL SELECT doc_id, 2, false, CASE WHEN found THEN 'already-linked' ELSE 'term-not-found' END, NULL, NULL, NULL FROM k UNION ALL SELECT doc_id, 3, false, 'term-not-found', NULL, NULL, NULL FROM k"
+)
+def batch_edits(spark, d):
+    """Three edits of every document: a link at its first long word, the same again, and one at a word that isn't there."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.regexp_extract("text", "([A-Za-z]{5,})", 1).alias("term"))
+    edit = lambda k, term, text, to: F.struct(F.lit(k).cast("long").alias("ord"), F.array(F.lit(""), term).alias("terms"), F.lit(text).alias("text"), F.lit(to).alias("target"))
+    edits = docs.select("id", F.explode(F.array(edit(2, F.col("term"), "[[a|b]]", "a"), edit(1, F.col("term"), "[[A]]", "notes/a"), edit(3, F.lit("no such word"), "[[B]]", "b"))).alias("e")).select("id", "e.*")
+    done = apply_edits(docs, edits).select(F.col("id").alias("doc_id"), F.explode("outcomes").alias("o"))
+    return done.select("doc_id", "o.ord", "o.changed", "o.reason", "o.line", "o.start", F.col("o.end").alias("end_"))
+
+
+@query(
+    f"WITH {_FOLDERS}, g AS (SELECT y, any_value(n) AS n, string_agg('- [[c' || k || CASE WHEN name = 'c' || k THEN '' ELSE '|' || name END || ']]', chr(10) ORDER BY k) AS lines FROM f GROUP BY y) "
+    "SELECT n AS action, CASE WHEN n % 3 = 0 THEN 'index-exists' ELSE 'index-created' END AS notice, y || '/Index.md' AS path, CASE WHEN n % 3 <> 0 THEN md5('# Index' || chr(10) || chr(10) || lines || chr(10)) END AS digest FROM g "
+    "UNION ALL SELECT 1000 + n, 'opened', y || '/c' || min(k) || '.md', NULL FROM f GROUP BY n, y"
+)
+def note_actions(spark, d):
+    """An index note for the customers of every nation, but where there is one already; and the first customer of each, opened."""
+    c = cut(_customers(spark, d).withColumn("id", F.col("path")))
+    have = c.where("n % 3 = 0").select(F.concat(F.regexp_extract("path", "^(.*)/", 1), F.lit("/Index.md")).alias("path")).distinct()
+    notes = c.select("id", "path", F.lit("").alias("content")).unionByName(have.select(F.col("path").alias("id"), "path", F.lit("").alias("content")))
+    of = c.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("k", "id")))["id"].alias("pages"))
+    empty = [F.lit(None).cast("string").alias(x) for x in ("source", "target", "text", "term")]
+    actions = of.select(F.col("n").cast("long").alias("action"), F.lit("create-moc").alias("kind"), *empty, "pages", F.lit("Index").alias("title")).unionByName(of.select((F.col("n") + 1000).cast("long").alias("action"), F.lit("open-notes").alias("kind"), *empty, F.slice("pages", 1, 1).alias("pages"), F.lit(None).cast("string").alias("title")))
+    written, outcomes = perform(actions, notes, c.select("id", "path", F.col("name").alias("label")))
+    return outcomes.select("action", "notice", F.get("paths", F.lit(0)).alias("path")).join(written.select("path", F.md5("content").alias("digest")), "path", "left").select("action", "notice", "path", "digest")
 
 
 @query()
