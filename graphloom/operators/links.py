@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import basename, hyphened, spaced, trim, without_md
@@ -13,12 +13,10 @@ def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def link_keys(notes: DataFrame) -> DataFrame:
-    """key, id: the page that each spelling means.
+def claims() -> Column:
+    """The spellings that a note (id, basename, aliases) claims: an array of tier, sub and key.
 
-    notes has id, basename and aliases.  Ids claim spellings before their hyphen and
-    space forms do, those before file names, those before aliases; within a tier the
-    first note by id wins.
+    Ids claim spellings before their hyphen and space forms do, those before file names, those before aliases.
     """
     low = lambda c: F.lower(trim(c))
     entry = lambda tier, sub, key: F.struct(F.lit(tier).alias("tier"), F.lit(sub).alias("sub"), key.alias("key"))
@@ -26,15 +24,24 @@ def link_keys(notes: DataFrame) -> DataFrame:
     fixed = [entry(1, 0, low(own)), entry(2, 0, hyphened(own)), entry(2, 1, spaced(own)), entry(3, 0, low(name)), entry(3, 1, hyphened(name)), entry(3, 2, spaced(name))]
     plain = lambda a: F.regexp_replace(a, r"^\./", "")
     others = F.flatten(F.transform("aliases", lambda a: F.array(entry(4, 0, low(plain(a))), entry(4, 1, hyphened(plain(a))))))
-    rows = notes.select("id", F.explode(F.concat(F.array(*fixed), F.coalesce(others, F.array().cast("array<struct<tier:int,sub:int,key:string>>")))).alias("k")).select("id", "k.*").where("key <> ''")
+    return F.filter(F.concat(F.array(*fixed), F.coalesce(others, F.array().cast("array<struct<tier:int,sub:int,key:string>>"))), lambda e: e["key"] != "")
+
+
+def spellings(target: Column) -> Column:
+    """What a link's target may be claimed as, the likeliest first."""
+    t = without_md(F.regexp_replace(trim(target), r"^\./", ""))
+    return F.array(t, F.lower(t), F.lower(basename(t)), hyphened(t), spaced(t), hyphened(basename(t)), spaced(basename(t)))
+
+
+def link_keys(notes: DataFrame) -> DataFrame:
+    """key, id: the page that each spelling means: that of the first tier, and within a tier the first note by id."""
+    rows = notes.select("id", F.explode(claims()).alias("k")).select("id", "k.*")
     return first_wins(rows, "key", "tier", "id", "sub").select("key", "id")
 
 
 def resolve_links(refs: DataFrame, keys: DataFrame) -> DataFrame:
     """refs (id, target) with resolved: the first of a target's spellings that keys knows, null if none."""
-    t = without_md(F.regexp_replace(trim(F.col("target")), r"^\./", ""))
-    spelt = F.array(t, F.lower(t), F.lower(basename(t)), hyphened(t), spaced(t), hyphened(basename(t)), spaced(basename(t)))
-    tried = refs.select("target").distinct().select("target", F.posexplode(spelt).alias("pos", "key"))
+    tried = refs.select("target").distinct().select("target", F.posexplode(spellings(F.col("target"))).alias("pos", "key"))
     found = tried.join(keys.select("key", F.col("id").alias("to")), "key").groupBy("target").agg(F.min_by("to", "pos").alias("resolved"))
     return refs.join(found, "target", "left").select("id", "target", "resolved")
 

@@ -27,6 +27,7 @@ from graphloom.plans.engine import analyse, build_graph
 from graphloom.plans.views import BAREST, STRONGEST, page_links, page_nodes, part_links, part_nodes, part_sources, table
 from graphloom.sources import vault
 from graphloom.streaming.history import first_seen_updates, keep_history, latest
+from graphloom.streaming.rebuild import current_links, keep_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -410,6 +411,16 @@ def gap_cards(spark, d):
     return I.gap_cards(nodes, C.summary(nodes, L.undirected(links)), L.neighbours(links))
 
 
+_FOLDERS = "f AS (SELECT r_name || '/' || n_name || '/c' || c_custkey || '.md' AS path, r_name AS x, r_name || '/' || n_name AS y, n_nationkey AS n, c_custkey AS k, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+def _customers(spark, d):
+    """Customers as notes in the folders of their nations: path, and n, k, name."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = F.concat_ws("/", "r_name", "n_name", F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".md")))
+    return c.select(path.alias("path"), F.col("n_nationkey").alias("n"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+
+
 # ---------------------------------------------------------------- trends and history
 
 
@@ -468,6 +479,32 @@ def stream_first_seen(spark, d):
     return latest(spark, f"{base}/out")
 
 
+@query(
+    f"WITH {_FOLDERS}, t AS (SELECT path, k, n, 'NATION_' || n AS target, CASE WHEN n % 3 <> 0 THEN lower(x || '/NATION_' || n) END AS resolved FROM f UNION ALL "
+    "SELECT f.path, f.k, f.n, 'c' || (f.k + CASE WHEN f.k % 5 = 0 THEN 2 ELSE 1 END), lower(regexp_replace(g.path, '[.]md$', '')) FROM f LEFT JOIN f g ON g.k = f.k + CASE WHEN f.k % 5 = 0 THEN 2 ELSE 1 END) "
+    "SELECT lower(regexp_replace(path, '[.]md$', '')) AS id, target, resolved FROM t"
+)
+def stream_rebuild(spark, d):
+    """Links of customers' notes to their nations and the next customer, kept by a stream: in a second batch some notes change, and some nations' notes go."""
+    import uuid
+
+    from graphloom.iterate import shared_dir
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    c = _customers(spark, d)
+    note = lambda ahead: F.concat(F.lit("See [["), F.concat(F.lit("NATION_"), F.col("n").cast("string")), F.lit("]] and [[c"), (F.col("k") + ahead).cast("string"), F.lit("]]."))
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat("r_name", F.lit("/NATION_"), F.col("n_nationkey").cast("string"), F.lit(".md")).alias("path"), F.col("n_nationkey").alias("n"))
+    first = c.select("path", note(1).alias("content"), F.lit(1).cast("long").alias("modified")).unionByName(nations.select("path", F.lit("# A nation").alias("content"), F.lit(1).cast("long").alias("modified")))
+    second = c.where("k % 5 = 0").select("path", note(2).alias("content"), F.lit(2).cast("long").alias("modified")).unionByName(nations.where("n % 3 = 0").select("path", F.lit(None).cast("string").alias("content"), F.lit(2).cast("long").alias("modified")))
+    for changes in (first, second):  # a batch each
+        changes.write.mode("append").parquet(f"{base}/in")
+        stream = keep_links(spark.readStream.schema(first.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint")
+        if not stream.awaitTermination(1_800):
+            stream.stop()
+            raise TimeoutError("the stream hasn't ended, and its rows aren't whole")
+    return current_links(spark, f"{base}/out")
+
+
 @query(f"WITH {_HIST}, old AS (SELECT * FROM hist WHERE first_seen < epoch_ms(TIMESTAMP '2024-01-03')) SELECT key, coalesce(old.first_seen, {NOW}) AS first_seen, {NOW} AS last_seen FROM hist LEFT JOIN old USING (key)")
 def history_observe(spark, d):
     hist = cut(_history(spark, d))
@@ -649,16 +686,6 @@ def parse_wikilinks(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(S.wikilinks(S.strip_code(text)), ",").alias("links"))
 
 
-_FOLDERS = "f AS (SELECT r_name || '/' || n_name || '/c' || c_custkey || '.md' AS path, r_name AS x, r_name || '/' || n_name AS y, n_nationkey AS n, c_custkey AS k, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
-
-
-def _customers(spark, d):
-    """Customers as notes in the folders of their nations: path, and n, k, name."""
-    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    path = F.concat_ws("/", "r_name", "n_name", F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".md")))
-    return c.select(path.alias("path"), F.col("n_nationkey").alias("n"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
-
-
 @query(f"WITH {_FOLDERS} SELECT x AS path, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT y, count(*) FROM f GROUP BY 1 UNION ALL SELECT '', 0")
 def folder_rollup(spark, d):
     return vault.folder_counts(_customers(spark, d))
