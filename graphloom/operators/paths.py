@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.iterate import cut
+from graphloom.operators.filters import Filters, edges_between, visible_nodes
+from graphloom.operators.links import neighbours
 
 #: Routes are counted up to here.
 MOST_ROUTES = 1_000_000
@@ -20,6 +22,7 @@ class Paths:
     nodes: DataFrame
     edges: DataFrame
     routes: int
+    complete: bool = True
 
 
 def hop_distances(nbr: DataFrame, start: object, most: int | None = None) -> DataFrame:
@@ -52,20 +55,41 @@ def _on_shortest(nbr: DataFrame, there: DataFrame, back: DataFrame, d: int) -> t
     return nodes, steps.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
 
 
-def simple_paths(nbr: DataFrame, source: object, target: object, most: int) -> DataFrame:
-    """path: every simple path of at most most hops, as an array; steps that can't reach the target in time aren't taken."""
-    back = hop_distances(nbr, target, most)
+#: Steps that an enumeration of simple paths may take, over all its rounds.
+MOST_STEPS = 200_000
+
+
+def simple_paths(nbr: DataFrame, source: object, target: object, most: int, *, back: DataFrame | None = None, steps: int | None = None) -> DataFrame | None:
+    """path: every simple path of at most most hops, as an array; steps that can't reach the target in time aren't taken.
+
+    With steps, None if more of them than that would be needed: a round takes one step
+    more than is left at most, so a dense graph ends early.  back (id, d) may be given, the distances to target.
+    """
+    back = hop_distances(nbr, target, most) if back is None else back
     live = back.where(F.col("id") == source).select("id", F.array("id").alias("path"))
     done = live.where(F.col("id") == target).select("path")
     live = live.where(F.col("id") != target)
+    left = steps
     for used in range(1, most + 1):
         step = live.join(nbr, "id").where(~F.array_contains("path", F.col("nbr"))).join(back.withColumnRenamed("id", "nbr"), "nbr").where(F.col("d") <= most - used)
-        live = cut(step.select(F.col("nbr").alias("id"), F.array_append("path", F.col("nbr")).alias("path")))
+        step = step.select(F.col("nbr").alias("id"), F.array_append("path", F.col("nbr")).alias("path"))
+        live = cut(step if left is None else step.limit(left + 1))
+        if left is not None:
+            left -= live.count()
+            if left < 0:
+                return None
         done = done.unionByName(live.where(F.col("id") == target).select("path"))
         live = live.where(F.col("id") != target)
     return done
 
 
+def within_span(nbr: DataFrame, there: DataFrame, back: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """Pages (id, d) and edges (a, b) that some walk of at most span hops between two pages meets; more than those on simple paths."""
+    both = there.join(back.withColumnRenamed("d", "e"), "id").where(F.col("d") + F.col("e") <= span)
+    near = nbr.join(there, "id").join(back.select(F.col("id").alias("nbr"), F.col("d").alias("e")), "nbr").where(F.col("d") + 1 + F.col("e") <= span)
+    return both.select("id", "d"), near.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
+
+
 def route_count(nodes: DataFrame, edges: DataFrame, source: object, target: object, d: int) -> int:
     """The number of shortest paths, layer by layer, up to MOST_ROUTES."""
     if d == 0:
@@ -79,10 +103,11 @@ def route_count(nodes: DataFrame, edges: DataFrame, source: object, target: obje
     return int(found.n) if found else 0
 
 
-def connecting_paths(nodes: DataFrame, nbr: DataFrame, source: object, target: object, *, max_distance: int | None = None, max_hops: int | None = None) -> Paths | None:
+def connecting_paths(nodes: DataFrame, nbr: DataFrame, source: object, target: object, *, max_distance: int | None = None, max_hops: int | None = None, steps: int = MOST_STEPS) -> Paths | None:
     """What connects two pages, or None if unknown, apart, or farther than max_distance.
 
-    With max_hops beyond the distance, all simple paths of at most so many hops count.
+    With max_hops beyond the distance, all simple paths of at most so many hops count;
+    if they take more steps than that, all that walks of so many hops meet, and the answer isn't complete.
     """
     if nodes.where(F.col("id").isin(source, target)).select("id").distinct().count() < (1 if source == target else 2):
         return None
@@ -90,17 +115,29 @@ def connecting_paths(nodes: DataFrame, nbr: DataFrame, source: object, target: o
     found = there.where(F.col("id") == target).first()
     if found is None or max_distance is not None and found.d > max_distance:
         return None
-    back = hop_distances(nbr, target, found.d)
-    shortest, edges = _on_shortest(nbr, there, back, found.d)
-    routes = route_count(shortest, edges, source, target, found.d)
     span = max(found.d, round(max_hops)) if max_hops is not None else found.d
-    on = shortest
+    back = hop_distances(nbr, target, span)
+    on, edges = _on_shortest(nbr, there, back, found.d)
+    routes = route_count(on, edges, source, target, found.d)
+    complete = True
     if span > found.d and source != target:
-        every = simple_paths(nbr, source, target, span)
-        on = every.select(F.explode("path").alias("id")).distinct().join(there, "id")
-        steps = every.select(F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("x"), F.slice("path", F.lit(2), F.size("path")).alias("y"))).alias("s"))
-        edges = steps.select(F.least("s.x", "s.y").alias("a"), F.greatest("s.x", "s.y").alias("b")).distinct()
-    return Paths(found.d, span, on.orderBy("d", "id"), edges.orderBy("a", "b"), routes)
+        every = simple_paths(nbr, source, target, span, back=back, steps=steps)
+        if every is None:
+            complete = False
+            on, edges = within_span(nbr, there, back, span)
+        else:
+            every = cut(every)
+            on = every.select(F.explode("path").alias("id")).distinct().join(there, "id")
+            hops = every.select(F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("x"), F.slice("path", F.lit(2), F.size("path")).alias("y"))).alias("s"))
+            edges = hops.select(F.least("s.x", "s.y").alias("a"), F.greatest("s.x", "s.y").alias("b")).distinct()
+    return Paths(found.d, span, on.orderBy("d", "id"), edges.orderBy("a", "b"), routes, complete)
+
+
+def visible_paths(nodes: DataFrame, edges: DataFrame, filters: Filters, source: object, target: object, *, between: int | None = None, steps: int = MOST_STEPS) -> Paths | None:
+    """connecting_paths in what filters leave of a graph, with at most so many pages between the two ends."""
+    shown = cut(visible_nodes(nodes, filters))
+    nbr = cut(neighbours(edges_between(edges, shown).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    return connecting_paths(shown, nbr, source, target, max_hops=None if between is None else between + 1, steps=steps)
 
 
 def neighbourhood(edges: DataFrame, node_id: object) -> tuple[DataFrame, DataFrame]:

@@ -143,3 +143,28 @@ def test_empty_graph(spark):
     assert L.neighbours(links).count() == 0
     assert G.components(nodes, L.undirected(links)).count() == 0
     assert G.core_numbers(L.neighbours(links)).select(F.count("*")).first()[0] == 0
+
+
+def test_paths_of_a_dense_graph_end(spark):
+    n = 9
+    nodes = spark.createDataFrame([(i,) for i in range(n + 2)], "id long")
+    links = spark.createDataFrame([(i, j) for i in range(n) for j in range(i)] + [(n, 0), (n + 1, n)], "src long, dst long")
+    nbr = L.neighbours(links)
+    whole = P.connecting_paths(nodes, nbr, 0, 8, max_hops=3)
+    assert whole.complete and {r.id for r in whole.nodes.collect()} == set(range(n))
+    short = P.connecting_paths(nodes, nbr, 0, 8, max_hops=4, steps=50)
+    assert not short.complete and short.distance == 1
+    # beyond the budget, pages off all simple paths may be there, but none is missing
+    assert set(range(n)) <= {r.id for r in short.nodes.collect()} and n + 1 not in {r.id for r in short.nodes.collect()}
+    assert P.simple_paths(nbr, 0, 8, 4, steps=50) is None and P.simple_paths(nbr, 0, 8, 2, steps=50).count() == 8
+
+
+def test_paths_run_through_visible_pages_only(spark):
+    from graphloom.operators.filters import Filters
+
+    nodes = spark.createDataFrame([(i, "concept", "concept", [], 0, False, 2) for i in "abcde"] + [("x", "query", "query", [], 0, False, 2)], "id string, raw_type string, type string, tags array<string>, community int, is_structural boolean, vault_link_count long")
+    edges = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "c"), ("c", "d"), ("b", "d"), ("a", "e")], "a string, b string")
+    assert P.visible_paths(nodes, edges, Filters(), "a", "b").distance == 2
+    hidden = P.visible_paths(nodes, edges, Filters(hidden_types=("query",)), "a", "b", between=2)
+    assert hidden.distance == hidden.span == 3 and [r.id for r in hidden.nodes.collect()] == ["a", "c", "d", "b"]
+    assert P.visible_paths(nodes, edges, Filters(hidden_types=("query",), hidden_communities=(0,)), "a", "b") is None
