@@ -264,6 +264,14 @@ def simple_paths(spark, d):
     return P.simple_paths(nbr, *pair, 4).select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
+@query(f"{_TWO}, ok AS (SELECT x.id, x.d FROM x JOIN y USING (id) WHERE x.d + y.e <= 4) SELECT DISTINCT least(n.id, n.nbr) AS a, greatest(n.id, n.nbr) AS b FROM nbr n JOIN x ON x.id = n.id JOIN y ON y.id = n.nbr WHERE x.d + 1 + y.e <= 4")
+def bounded_paths(spark, d):
+    """What walks of four hops between two parts meet: the simple paths take more steps than are allowed."""
+    nbr = cut(L.neighbours(part_links(spark, d)))
+    found = P.connecting_paths(table(spark, d, "part").select(F.col("p_partkey").alias("id")), nbr, 1, 150, max_hops=4, steps=1_000)
+    return found.edges
+
+
 @query(f"WITH {LINKS} SELECT a, b FROM und WHERE a = 1 OR b = 1")
 def neighbourhood(spark, d):
     return P.neighbourhood(L.undirected(part_links(spark, d)), 1)[1]
@@ -558,6 +566,20 @@ def visible_edges(spark, d):
     return V.edges_between(L.undirected(links), V.visible_nodes(part_nodes(spark, d, links), _FILTERS))
 
 
+@query(
+    f"WITH RECURSIVE {_SHOWN}, seen AS (SELECT a AS id, b AS nbr FROM und WHERE a IN (SELECT id FROM shown) AND b IN (SELECT id FROM shown)), sn AS (SELECT id, nbr FROM seen UNION ALL SELECT nbr, id FROM seen), tips AS (SELECT min(id) AS s, max(id) AS t FROM shown), "
+    "f AS (SELECT s AS id, 0 AS d FROM tips UNION SELECT nbr, d + 1 FROM f JOIN sn USING (id) WHERE d < 6), g AS (SELECT t AS id, 0 AS d FROM tips UNION SELECT nbr, d + 1 FROM g JOIN sn USING (id) WHERE d < 6), "
+    "p AS (SELECT id, min(d) AS d FROM f GROUP BY id), q AS (SELECT id, min(d) AS e FROM g GROUP BY id) SELECT p.id, CAST(p.d AS BIGINT) AS d FROM p JOIN q USING (id) WHERE p.d + q.e = (SELECT p.d FROM p, tips WHERE p.id = t)"
+)
+def visible_paths(spark, d):
+    """The shortest paths between the first and the last part that filters leave, through such parts only."""
+    links = cut(part_links(spark, d, STRONGEST))
+    nodes = cut(part_nodes(spark, d, links))
+    ends = V.visible_nodes(nodes, _FILTERS).agg(F.min("id"), F.max("id")).first()
+    found = P.visible_paths(nodes, L.undirected(links), _FILTERS, *ends)
+    return found.nodes.select("id", "d") if found else nodes.select("id", F.lit(0).cast("long").alias("d")).where("false")
+
+
 @query(f"WITH {_SHOWN} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM shown) AS shown, (SELECT count(*) FROM und) AS edges")
 def status_counters(spark, d):
     links = cut(part_links(spark, d, STRONGEST))
@@ -877,6 +899,53 @@ def topk_churn(spark, d):
     return rounded(E.churn(docs.orderBy(F.desc("n_chars"), "key").limit(50), docs.orderBy(F.desc(F.expr("n_chars % 10000")), "key").limit(50)))
 
 
+@query(
+    "WITH s AS (SELECT doc_id, length(source) AS score, CAST(quality AS BIGINT) AS p FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, row_number() OVER (ORDER BY score DESC) AS r FROM s), "
+    "k AS (SELECT k, min(score) AS bound FROM r, (SELECT unnest([1, 3, 6, 10, 20]) AS k) WHERE r <= k GROUP BY k), m AS (SELECT k, count(*) FILTER (score > bound) AS above, count(*) FILTER (score = bound) AS tied, coalesce(sum(p) FILTER (score > bound), 0) AS hits, coalesce(sum(p) FILTER (score = bound), 0) AS among FROM s JOIN k ON score >= bound GROUP BY k) "
+    "SELECT k, above, tied, round((hits + among * least(k - above, tied) / CAST(tied AS DOUBLE)) / k, 6) AS expected FROM m"
+)
+def tie_mass(spark, d):
+    """Documents ranked by the length of their source's name, which very many share."""
+    docs = table(spark, d, "documents").select("doc_id", F.length("source").alias("score"))
+    return rounded(E.tie_mass(docs.join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("key"), "score", F.col("quality").cast("long").alias("positive"))))
+
+
+_EDGE_SIGNALS = "aa AS (SELECT p.a, p.b, sum(1 / ln(greatest(d, 2))) AS aa, sum(1.0 / greatest(d, 2)) AS ra, count(*) AS cn, max(greatest(d, 2)) AS hub FROM und p JOIN nbr x ON x.id = p.a JOIN nbr y ON y.id = p.b AND y.nbr = x.nbr JOIN deg ON deg.id = x.nbr GROUP BY p.a, p.b)"
+
+
+@query(
+    f"WITH {LINKS}, {SOURCES}, {_EDGE_SIGNALS}, s AS (SELECT id, list(source) AS s FROM src GROUP BY id) SELECT und.a, und.b, round(coalesce(aa, 0), 6) AS aa, round(coalesce(ra, 0), 6) AS ra, coalesce(cn, 0) AS cn, x.d * y.d AS attachment, round(coalesce(aa, 0) / sqrt(x.d * y.d), 6) AS aa_cosine, "
+    "CASE WHEN p.p_brand = q.p_brand THEN 1.0 ELSE 0.0 END AS tag_jaccard, round(coalesce(aa, 0) + CASE WHEN p.p_brand = q.p_brand THEN 1 ELSE 0 END, 6) AS aa_tags, round(coalesce(len(list_intersect(sa.s, sb.s)) / CAST(len(list_distinct(sa.s || sb.s)) AS DOUBLE), 0), 6) AS source_jaccard "
+    "FROM und JOIN deg x ON x.id = und.a JOIN deg y ON y.id = und.b JOIN part p ON p.p_partkey = und.a JOIN part q ON q.p_partkey = und.b LEFT JOIN aa ON aa.a = und.a AND aa.b = und.b LEFT JOIN s sa ON sa.id = und.a LEFT JOIN s sb ON sb.id = und.b".replace("1.0 ELSE 0.0 END AS tag", "CAST(1 AS DOUBLE) ELSE 0 END AS tag")
+)
+def scorers(spark, d):
+    """Every scorer on every linked pair."""
+    links = cut(part_links(spark, d))
+    tags = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("item"))
+    return rounded(E.scorers(L.undirected(links), L.neighbours(links), tags, part_sources(spark, d).withColumnRenamed("source", "item")))
+
+
+@query(
+    f"WITH {LINKS}, {_HOPS}, {_EDGE_SIGNALS.replace('aa AS (', 'ea AS (')}, rows_ AS (SELECT 'candidate' AS kind, a, b, round(score, 9) AS score, cn, hub FROM scored WHERE round(score, 9) >= 0.2 UNION ALL SELECT 'control', a, b, round(0.45 * aa / (1 + aa) + 0.35 * ra / (1 + ra) + 0.2 * least(1.0, cn / 3.0), 9), cn, hub FROM ea), "
+    "shaped AS (SELECT *, hub >= 50 AS by_hub, CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.35 THEN 'moderate' ELSE 'weak' END AS stratum, (a * 7919 + b * 104729 + 1299709) % 1000003 AS u FROM rows_), "
+    "drawn AS (SELECT * FROM shaped WHERE kind = 'candidate' QUALIFY row_number() OVER (PARTITION BY by_hub, stratum ORDER BY u, a, b) <= 10), w AS (SELECT by_hub, count(*) AS wanted FROM drawn GROUP BY 1), "
+    "control AS (SELECT shaped.* FROM shaped JOIN w USING (by_hub) WHERE kind = 'control' QUALIFY row_number() OVER (PARTITION BY shaped.by_hub ORDER BY u, a, b) <= any_value(wanted) OVER (PARTITION BY shaped.by_hub)) "
+    "SELECT CAST(row_number() OVER (ORDER BY u, a, b) AS INT) AS place, kind, a, b, score, cn, hub, by_hub, stratum FROM (SELECT * FROM drawn UNION ALL SELECT kind, a, b, score, cn, hub, by_hub, stratum, u FROM control)"
+)
+def rating_sheet(spark, d):
+    """Likely links of all parts, and real ones among them, for people to rate."""
+    nbr = cut(L.neighbours(part_links(spark, d)))
+    score = lambda pairs: I.prediction_scores(pairs, nbr).select("a", "b", F.round("score", 9).alias("score"), "cn", "hub")
+    pairs = nbr.where("id < nbr").toDF("a", "b")
+    return E.rating_sheet(score(I.two_hops(nbr)).where("score >= 0.2"), score(pairs), hub=50)
+
+
+@query()
+def stability(spark, d):
+    """How the communities of the web's links stay when links are dropped, pages renamed, and the resolution moved."""
+    return rounded(C.stability(page_nodes(links := cut(page_links(spark, d))).select("id"), L.undirected(links).withColumn("weight", F.lit(1.0))))
+
+
 @query(f"WITH {LINKS} SELECT a, b FROM und WHERE (a * 7919 + b * 104729 + 1299709) % 10000 < 2000")
 def hold_out(spark, d):
     return E.hold_out(L.undirected(part_links(spark, d)))[1]
