@@ -22,8 +22,6 @@ from graphloom.llm.common import sift, stage, unused
 
 #: Distinct fingerprints up to which three segments are used; beyond it their 21 bits would be shared by too many, and two are.
 FEW = 1 << 24
-#: Rows without an id get nodes from here on, and come out as null.
-_NAMELESS = 1 << 62
 
 
 def fingerprint(text: str | None, size: int = 4) -> int:
@@ -116,19 +114,17 @@ def near_duplicates(docs: DataFrame, *, distance: int = 4, segments: int | None
 
     Rows whose fingerprints are equal, or differ in at most ``distance`` bits, are
     linked; empty texts have fingerprint zero and link like others.  A row without
-    a doc_id links too, but names no component.  Rows stay rows, repeated ones too;
+    a doc_id links too, but names no component; where all are, it is null.  Rows stay rows, repeated ones too;
     very long texts count whole, further columns play no part, and of an empty table
     nothing comes.  The number of segments changes the work, not the result.
     """
     fps = stage(fingerprints(docs))
-    node = F.coalesce("doc_id", F.lit(_NAMELESS).bitwiseOR(F.col("fp").bitwiseAND(F.lit(_NAMELESS - 1))))
-    table = stage(fps.groupBy("fp").agg(F.min(node).alias("node")))
-    found = links(table, distance=distance, segments=segments or (3 if table.count() <= FEW else 2))
-    ends = found.join(table.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(table.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
-    edges = ends.select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    root = components(edges)
-    of = table.join(root, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
-    return fps.join(of, "fp").select("doc_id", "fp", F.when(F.col("c") < _NAMELESS, F.col("c")).alias("component_id"))
+    # fingerprints themselves are what links connect, so doc_ids may be any numbers
+    table = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    root = components(links(table.select("fp"), distance=distance, segments=segments or (3 if table.count() <= FEW else 2)))
+    of = table.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("c"))
+    least = of.groupBy("c").agg(F.min("id").alias("component_id"))
+    return fps.join(of.join(least, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
