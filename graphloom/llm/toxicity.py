@@ -196,21 +196,42 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sampled(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(ident, toxic) of at most per_class labelled ids of each class, of least hash, and the number of each class.
+    """(ident, toxic) of per_class labelled ids of each class, of least hash, or all if there are fewer, and the number of each class.
 
-    The least hashes are those below a bound that counts of 65,536 ranges of hashes
-    give, so no task has to rank a class; ids of the range where the count runs
-    over go, so some fewer may be taken.
+    No task ranks a class: counts by the first 16 bits of the hash say in which of
+    65,536 ranges the count runs over, that range is split by the next 16 bits, and so
+    on until it fits.  Only ids of equal hash could be left over.
     """
     given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("ident")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    given = given.withColumn("range", F.shiftrightunsigned(F.xxhash64("ident", F.lit(11)), 48).cast("int"))
-    sizes, bound = {}, {}
-    for r in given.groupBy("toxic", "range").count().orderBy("range").collect():
-        sizes[r.toxic] = sizes.get(r.toxic, 0) + r["count"]
-        if sizes[r.toxic] <= per_class:
-            bound[r.toxic] = r.range
-    below = [(F.col("toxic") == c) & (F.col("range") <= b) for c, b in bound.items()]
-    return given.where(below[0] | below[1] if len(below) == 2 else below[0] if below else F.lit(False)).select("ident", "toxic"), sizes
+    given = given.withColumn("h", F.xxhash64("ident", F.lit(11)))
+    bits = lambda level: F.shiftrightunsigned("h", 48 - 16 * level).bitwiseAND(F.lit(0xFFFF))
+    sizes: dict[int, int] = {}
+    keep, inside, left = {0: F.lit(False), 1: F.lit(False)}, {0: F.lit(True), 1: F.lit(True)}, {0: per_class, 1: per_class}
+    for level in range(4):
+        open_ = [c for c in (0, 1) if left[c] and (level == 0 or c in sizes)]
+        if not open_:
+            break
+        within = F.lit(False)
+        for c in open_:
+            within = within | (F.col("toxic") == c) & inside[c]
+        counts = given.where(within).groupBy("toxic", bits(level).cast("int").alias("range")).count().collect()  # two times 65,536 at most
+        for c in open_:
+            own = sorted((r["range"], r["count"]) for r in counts if r.toxic == c)
+            if not level and own:
+                sizes[c] = sum(n for _, n in own)
+            upto, over = 0, None
+            for at, n in own:
+                if n > left[c]:
+                    over = at
+                    break
+                left[c], upto = left[c] - n, at + 1
+            keep[c] = keep[c] | inside[c] & (bits(level) < upto)
+            if over is None:
+                left[c] = 0  # all are in
+            else:
+                inside[c] = inside[c] & (bits(level) == over)
+    taken = (F.col("toxic") == 0) & keep[0] | (F.col("toxic") == 1) & keep[1]
+    return given.where(taken).select("ident", "toxic"), sizes
 
 
 def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
