@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import saturate
+from graphloom.iterate import cut
 from graphloom.operators.links import neighbours
 from graphloom.operators.relevance import adamic_adar
 
@@ -28,15 +29,41 @@ def two_hops(nbr: DataFrame, rank: DataFrame | None = None, hub: int = HUB) -> D
     return pairs.join(nbr.select(F.col("id").alias("a"), F.col("nbr").alias("b")), ["a", "b"], "left_anti")
 
 
+def _score(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("score", 0.45 * saturate(F.col("aa")) + 0.35 * saturate(F.col("ra")) + 0.2 * F.least(F.lit(1.0), F.col("cn") / 3))
+
+
 def prediction_scores(pairs: DataFrame, nbr: DataFrame) -> DataFrame:
     """pairs with aa, ra, cn, hub and score."""
-    return adamic_adar(pairs, nbr).withColumn("score", 0.45 * saturate(F.col("aa")) + 0.35 * saturate(F.col("ra")) + 0.2 * F.least(F.lit(1.0), F.col("cn") / 3))
+    return _score(adamic_adar(pairs, nbr))
+
+
+def predictions(nbr: DataFrame, rank: DataFrame | None = None, hub: int = HUB) -> DataFrame:
+    """a, b, aa, ra, cn, hub, score of all pairs that two_hops gives.
+
+    A middle with hub neighbours at most gives all its pairs, so these add up as they
+    are found; only what larger middles share is looked up pair by pair.
+    """
+    nbr = cut(nbr)
+    deg = nbr.groupBy("id").agg(F.count("*").alias("n"))
+    sized = nbr.select(F.col("id").alias("z"), F.col("nbr").alias("a")).join(deg.withColumnRenamed("id", "z"), "z")
+    light, heavy = sized.where(F.col("n") <= hub), sized.where(F.col("n") > hub)
+    d = F.greatest("n", F.lit(2)).cast("double")
+    sums = [F.sum(1 / F.ln(d)).alias("aa"), F.sum(1 / d).alias("ra"), F.count("*").alias("cn"), F.max(F.greatest("n", F.lit(2))).alias("hub")]
+    met = light.join(light.select("z", F.col("a").alias("b")), "z").where("a < b").groupBy("a", "b").agg(*sums)
+    if not heavy.isEmpty():
+        met = cut(met)
+        large = heavy.select(F.col("z").alias("id")).distinct()
+        few = two_hops(nbr.join(large, "id", "left_semi"), rank, hub)
+        pool = met.select("a", "b").unionByName(few).distinct()
+        both = pool.join(heavy, "a").join(heavy.select("z", F.col("a").alias("b")), ["z", "b"]).groupBy("a", "b").agg(*sums)
+        met = met.unionByName(both).groupBy("a", "b").agg(F.sum("aa").alias("aa"), F.sum("ra").alias("ra"), F.sum("cn").alias("cn"), F.max("hub").alias("hub"))
+    return _score(met.join(nbr.select(F.col("id").alias("a"), F.col("nbr").alias("b")), ["a", "b"], "left_anti"))
 
 
 def missing_links(links: DataFrame, *, k: int | None = 6, hub: int = HUB, least: float = 0.2, rank: DataFrame | None = None) -> DataFrame:
     """a, b, aa, ra, cn, hub, score, confidence of the likeliest links that aren't there."""
-    nbr = neighbours(links)
-    found = prediction_scores(two_hops(nbr, rank, hub), nbr).where(F.round("score", 9) >= least)
+    found = predictions(neighbours(links), rank, hub).where(F.round("score", 9) >= least)
     found = found.withColumn("confidence", F.when(F.col("score") >= 0.6, "strong").when(F.col("score") >= 0.35, "moderate").otherwise("weak"))
     return found.orderBy(F.desc(F.round("score", 9)), "a", "b").limit(k) if k is not None else found
 

@@ -7,23 +7,15 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import millis
 
-#: Successors of a part in the sparse graph, and in the barest one.
-STRONGEST, BAREST = 4, 1
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def part_links(spark: SparkSession, sf_dir: str, strongest: int | None = None) -> DataFrame:
-    """src, dst: a part and the next one in an order, over all orders; if strongest is given, only so many most frequent successors of each part."""
+def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: a part and the next one in an order, over all orders."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    pairs = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).where("dst IS NOT NULL AND src <> dst")
-    if strongest is None:
-        return pairs.distinct()
-    often = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(often)).where(F.col("r") <= strongest).select("src", "dst")
+    return lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
 
 
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

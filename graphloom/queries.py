@@ -24,7 +24,7 @@ from graphloom.operators import trends as T
 from graphloom.operators.edit import apply_edits, insert_links, perform
 from graphloom.operators.parse import parse_notes
 from graphloom.plans.engine import analyse, build_graph
-from graphloom.plans.views import BAREST, STRONGEST, page_links, page_nodes, part_links, part_nodes, part_sources, table
+from graphloom.plans.views import page_links, page_nodes, part_links, part_nodes, part_sources, table
 from graphloom.sources import vault
 from graphloom.streaming.history import first_seen_updates, keep_history, latest
 from graphloom.streaming.rebuild import current_links, keep_links
@@ -40,11 +40,6 @@ links AS (SELECT DISTINCT src, dst FROM seq WHERE dst IS NOT NULL AND src <> dst
 und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM links),
 nbr AS (SELECT a AS id, b AS nbr FROM und UNION ALL SELECT b, a FROM und),
 deg AS (SELECT id, count(*) AS d FROM nbr GROUP BY id)"""
-SPARSE = LINKS.replace(
-    "SELECT DISTINCT src, dst FROM seq WHERE dst IS NOT NULL AND src <> dst",
-    "SELECT src, dst FROM (SELECT src, dst, count(*) AS n FROM seq WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 4",
-)
-BARE = SPARSE.replace("<= 4", "<= 1")
 SOURCES = "src AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS source FROM lineitem WHERE l_quantity >= 45)"
 NODES = """
 ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM links UNION ALL SELECT dst, 0, 1 FROM links),
@@ -65,6 +60,18 @@ edges AS (SELECT *, direct_link + source_overlap + adamic_adar + co_citation AS
 ROUNDED = "round(direct_link, 6) AS direct_link, round(source_overlap, 6) AS source_overlap, round(adamic_adar, 6) AS adamic_adar, round(co_citation, 6) AS co_citation, round(weight, 6) AS total"
 
 
+PAGES = """
+hrefs AS (SELECT 'page ' || page_id AS src, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages),
+links AS (SELECT DISTINCT src, CASE WHEN starts_with(href, '/') THEN host || href ELSE href END AS dst FROM hrefs),
+und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM links WHERE src <> dst),
+nbr AS (SELECT a AS id, b AS nbr FROM und UNION ALL SELECT b, a FROM und)"""
+_SCAFFOLD = "(regexp_matches(lower(split_part(id, '/', -1)), '^(index|overview|log|purpose|schema|moc)($|[^0-9A-Za-z_])') OR lower(split_part(id, '/', -1)) IN ('home', 'readme', 'inbox'))"
+WEB = f"""{PAGES},
+cnt AS (SELECT id, count(*) AS link_count FROM (SELECT src AS id FROM links UNION ALL SELECT dst FROM links) GROUP BY id),
+of AS (SELECT src AS id, min(dst) AS community FROM links GROUP BY src UNION SELECT dst, dst FROM links),
+nodes AS (SELECT id, id AS label, community, link_count, {_SCAFFOLD} AS is_structural FROM of JOIN cnt USING (id))"""
+
+
 def query(sql: str | None = None) -> Callable:
     """Register a query under its function's name, with the same in SQL."""
 
@@ -81,19 +88,18 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def sparse_graph(spark: SparkSession, d: str, strongest: int = STRONGEST) -> tuple[DataFrame, DataFrame]:
-    """Nodes and undirected edges of each part's strongest links."""
-    links = cut(part_links(spark, d, strongest))
-    return part_nodes(spark, d, links), L.undirected(links)
+def web(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Links of web pages, and their ends as nodes."""
+    links = cut(page_links(spark, d))
+    nodes = page_nodes(links)
+    return links, nodes.join(L.degrees(nodes, links), "id").withColumn("label", F.col("id")).withColumn("vault_link_count", F.col("link_count"))
 
 
 def scored_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Nodes, and edges a, b, weight, shared and signals."""
     links = cut(part_links(spark, d))
     sources = cut(part_sources(spark, d))
-    edges = R.edge_scores(links, sources).withColumnRenamed("total", "weight")
-    shared = R.shared_sources(edges.select("a", "b"), sources).select("a", "b", F.col("n").alias("shared"))
-    return part_nodes(spark, d, links), edges.join(shared, ["a", "b"], "left").na.fill(0, ["shared"])
+    return part_nodes(spark, d, links), R.edge_scores(links, sources, counts=True).withColumnRenamed("total", "weight")
 
 
 # ---------------------------------------------------------------- links and degrees
@@ -173,7 +179,8 @@ def edge_style(spark, d):
 # ---------------------------------------------------------------- communities
 
 
-_INNER = f"{NODES}, one AS (SELECT count(*) AS n, (SELECT count(*) FROM und) AS e FROM nodes), inn AS (SELECT x.community, count(*) AS intra_edges FROM und JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE x.community = y.community GROUP BY 1), summ AS (SELECT community, count(*) AS node_count, coalesce(any_value(intra_edges), 0) AS intra_edges FROM nodes LEFT JOIN inn USING (community) GROUP BY community)"
+_SUMMARY = "one AS (SELECT count(*) AS n, (SELECT count(*) FROM und) AS e FROM nodes), inn AS (SELECT x.community, count(*) AS intra_edges FROM und JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE x.community = y.community GROUP BY 1), summ AS (SELECT community, count(*) AS node_count, coalesce(any_value(intra_edges), 0) AS intra_edges FROM nodes LEFT JOIN inn USING (community) GROUP BY community)"
+_INNER = f"{NODES}, {_SUMMARY}"
 
 
 @query(f"WITH {LINKS}, {_INNER} SELECT community, node_count, intra_edges, round(intra_edges / (CASE WHEN node_count > 1 THEN node_count * (node_count - 1) / 2 ELSE 1.0 END), 6) AS cohesion, round(2.0 * intra_edges / node_count, 6) AS mean_intra_degree, node_count >= 3 AND intra_edges / (node_count * (node_count - 1) / 2) < 1.5 * e / (n * (n - 1) / 2) AS is_sparse FROM summ, one")
@@ -223,7 +230,7 @@ def modularity(spark, d):
 
 @query()
 def label_groups(spark, d):
-    edges = cut(L.undirected(part_links(spark, d, STRONGEST)).withColumn("weight", F.lit(1.0)))
+    edges = cut(L.undirected(part_links(spark, d)).withColumn("weight", F.lit(1.0)))
     return C.label_groups(table(spark, d, "part").select(F.col("p_partkey").alias("id")), edges, rounds=4)
 
 
@@ -253,15 +260,15 @@ def route_count(spark, d):
 
 
 @query(
-    f"WITH RECURSIVE {SPARSE}, ends AS (SELECT id, nbr AS target FROM nbr ORDER BY 1, 2 LIMIT 1), w AS (SELECT [id] AS path, id AS tip FROM ends UNION ALL "
-    "SELECT list_append(w.path, n.nbr), n.nbr FROM w JOIN nbr n ON n.id = w.tip, ends WHERE w.tip <> ends.target AND len(w.path) <= 4 AND NOT list_contains(w.path, n.nbr)) "
+    f"WITH RECURSIVE {LINKS}, ends AS (SELECT id, nbr AS target FROM nbr ORDER BY 1, 2 LIMIT 1), w AS (SELECT [id] AS path, id AS tip FROM ends UNION ALL "
+    "SELECT list_append(w.path, n.nbr), n.nbr FROM w JOIN nbr n ON n.id = w.tip, ends WHERE w.tip <> ends.target AND len(w.path) <= 3 AND NOT list_contains(w.path, n.nbr)) "
     "SELECT array_to_string(path, ',') AS path FROM w, ends WHERE tip = target"
 )
 def simple_paths(spark, d):
-    nbr = cut(L.neighbours(part_links(spark, d, STRONGEST)))
+    nbr = cut(L.neighbours(part_links(spark, d)))
     ends = nbr.orderBy("id", "nbr").limit(1).collect()
     pair = (ends[0].id, ends[0].nbr) if ends else (1, 2)
-    return P.simple_paths(nbr, *pair, 4).select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    return P.simple_paths(nbr, *pair, 3).select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 @query(f"{_TWO}, ok AS (SELECT x.id, x.d FROM x JOIN y USING (id) WHERE x.d + y.e <= 4) SELECT DISTINCT least(n.id, n.nbr) AS a, greatest(n.id, n.nbr) AS b FROM nbr n JOIN x ON x.id = n.id JOIN y ON y.id = n.nbr WHERE x.d + 1 + y.e <= 4")
@@ -277,20 +284,15 @@ def neighbourhood(spark, d):
     return P.neighbourhood(L.undirected(part_links(spark, d)), 1)[1]
 
 
-@query("WITH RECURSIVE " + SPARSE + ", r AS (SELECT p_partkey AS id, p_partkey AS c FROM part UNION SELECT n.nbr, r.c FROM r JOIN nbr n ON n.id = r.id WHERE r.c < n.nbr) SELECT id, min(c) AS component FROM r GROUP BY id")
+@query(f"WITH RECURSIVE {PAGES}, r AS (SELECT DISTINCT id, id AS c FROM nbr UNION SELECT n.nbr, r.c FROM r JOIN nbr n ON n.id = r.id WHERE r.c < n.nbr) SELECT id, min(c) AS component FROM r GROUP BY id")
 def label_components(spark, d):
-    nodes, edges = sparse_graph(spark, d)
-    return G.components(nodes.select("id"), edges)
+    links, nodes = web(spark, d)
+    return G.components(nodes.select("id"), L.undirected(links))
 
 
 # ---------------------------------------------------------------- structure
 
 
-PAGES = """
-hrefs AS (SELECT 'page ' || page_id AS src, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages),
-links AS (SELECT DISTINCT src, CASE WHEN starts_with(href, '/') THEN host || href ELSE href END AS dst FROM hrefs),
-und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM links WHERE src <> dst),
-nbr AS (SELECT a AS id, b AS nbr FROM und UNION ALL SELECT b, a FROM und)"""
 # by definition: what each neighbour of a page reaches without it
 _CUT = (
     f"{PAGES}, r AS (SELECT id AS v, nbr AS s, nbr AS x FROM nbr UNION SELECT r.v, r.s, n.nbr FROM r JOIN nbr n ON n.id = r.x WHERE n.nbr <> r.v), "
@@ -303,7 +305,7 @@ _CUT = (
 
 @query(
     f"WITH RECURSIVE {_CUT} SELECT id, separated, round(separated / (separated + 5.0), 6) AS score, 1 + separated + CASE WHEN id IN (SELECT a FROM bridges UNION SELECT b FROM bridges) THEN 1 ELSE 0 END AS evidence, CASE WHEN separated > 0 THEN 'strong' ELSE 'moderate' END AS confidence "
-    "FROM cuts WHERE NOT regexp_matches(lower(split_part(id, '/', -1)), '^(index|overview|log|purpose|schema|moc)($|[^0-9A-Za-z_])') AND lower(split_part(id, '/', -1)) NOT IN ('home', 'readme', 'inbox')"
+    "FROM cuts WHERE NOT " + _SCAFFOLD
 )
 def cut_vertices(spark, d):
     """All cut pages of the web's links, with what each would part from the rest."""
@@ -320,7 +322,7 @@ def bridges(spark, d):
 
 @query()
 def kcore(spark, d):
-    return G.core_numbers(cut(L.neighbours(part_links(spark, d, STRONGEST))))
+    return G.core_numbers(cut(L.neighbours(part_links(spark, d))))
 
 
 @query(f"WITH {LINKS}, cn AS (SELECT p.a, p.b, count(x.nbr) AS cn FROM und p LEFT JOIN (SELECT x.id AS a, y.id AS b, x.nbr FROM nbr x JOIN nbr y ON x.nbr = y.nbr) x ON x.a = p.a AND x.b = p.b GROUP BY p.a, p.b), e AS (SELECT a AS id, cn FROM cn UNION ALL SELECT b, cn FROM cn) SELECT id, count(*) AS degree, round(CAST(sum((1 + cn) * (1 + cn)) AS DOUBLE) / (count(*) * count(*)), 6) AS constraint_ FROM e GROUP BY id")
@@ -328,27 +330,20 @@ def constraint(spark, d):
     return rounded(G.constraint(cut(L.neighbours(part_links(spark, d)))).withColumnRenamed("constraint", "constraint_"))
 
 
-_LEAVES = "of AS (SELECT p_partkey AS id, CASE WHEN p_partkey IN (SELECT dst FROM links) THEN p_partkey ELSE coalesce((SELECT dst FROM links WHERE src = p_partkey), p_partkey) END AS community FROM part)"
-
-
 @query(
-    f"WITH {BARE}, {_LEAVES}, c AS (SELECT x.community AS ca, y.community AS cb, a, b FROM und JOIN of x ON x.id = a JOIN of y ON y.id = b WHERE x.community <> y.community), "
+    f"WITH {WEB}, c AS (SELECT x.community AS ca, y.community AS cb, a, b FROM und JOIN of x ON x.id = a JOIN of y ON y.id = b WHERE x.community <> y.community), "
     "e AS (SELECT ca AS community, a AS id FROM c UNION ALL SELECT cb, b FROM c) "
     "SELECT community, min(id) AS id, count(*) AS exits FROM e GROUP BY community HAVING count(DISTINCT id) = 1"
 )
 def gateways(spark, d):
-    """A page that none leads to is in the community of the page that it leads to."""
-    links = cut(part_links(spark, d, BAREST))
-    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    led = links.select(F.col("dst").alias("id")).distinct().withColumn("led", F.lit(True))
-    of = nodes.join(led, "id", "left").join(links.withColumnRenamed("src", "id"), "id", "left")
-    return G.gateways(of.select("id", F.when(F.col("led"), F.col("id")).otherwise(F.coalesce("dst", "id")).alias("community")), L.undirected(links))
+    links, nodes = web(spark, d)
+    return G.gateways(nodes, L.undirected(links))
 
 
 @query()
 def underlinked_hubs(spark, d):
-    nodes, edges = sparse_graph(spark, d, BAREST)
-    nbr = cut(L.neighbours(edges.toDF("src", "dst")))
+    links, nodes = web(spark, d)
+    nbr = cut(L.neighbours(links))
     return rounded(G.underlinked_hubs(nodes, G.core_numbers(nbr), nbr))
 
 
@@ -363,15 +358,15 @@ def brokers(spark, d):
 _HOPS = "firsts AS (SELECT id, nbr FROM nbr QUALIFY row_number() OVER (PARTITION BY id ORDER BY nbr) <= 64), pool AS (SELECT DISTINCT x.nbr AS a, y.nbr AS b FROM firsts x JOIN firsts y ON x.id = y.id AND x.nbr < y.nbr EXCEPT SELECT a, b FROM und), aa AS (SELECT p.a, p.b, sum(1 / ln(greatest(d, 2))) AS aa, sum(1.0 / greatest(d, 2)) AS ra, count(*) AS cn, max(greatest(d, 2)) AS hub FROM pool p JOIN nbr x ON x.id = p.a JOIN nbr y ON y.id = p.b AND y.nbr = x.nbr JOIN deg ON deg.id = x.nbr GROUP BY p.a, p.b), scored AS (SELECT *, 0.45 * aa / (1 + aa) + 0.35 * ra / (1 + ra) + 0.2 * least(1.0, cn / 3.0) AS score FROM aa)"
 
 
-@query(f"WITH {SPARSE}, {_HOPS} SELECT a, b, round(aa, 6) AS aa, round(ra, 6) AS ra, cn, hub, round(score, 6) AS score, CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.35 THEN 'moderate' ELSE 'weak' END AS confidence FROM scored WHERE round(score, 9) >= 0.2 ORDER BY round(score, 9) DESC, a, b LIMIT 6")
+@query(f"WITH {LINKS}, {_HOPS} SELECT a, b, round(aa, 6) AS aa, round(ra, 6) AS ra, cn, hub, round(score, 6) AS score, CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.35 THEN 'moderate' ELSE 'weak' END AS confidence FROM scored WHERE round(score, 9) >= 0.2 ORDER BY round(score, 9) DESC, a, b LIMIT 6")
 def missing_links(spark, d):
-    return rounded(I.missing_links(cut(part_links(spark, d, STRONGEST))))
+    return rounded(I.missing_links(cut(part_links(spark, d))))
 
 
-@query(f"WITH {SPARSE}, {_HOPS} SELECT a, b, cn, hub, round(score, 6) AS score FROM scored")
+@query(f"WITH {LINKS}, {_HOPS} SELECT a, b, cn, hub, round(score, 6) AS score FROM scored WHERE round(score, 9) >= 0.35")
 def link_predictions(spark, d):
-    nbr = cut(L.neighbours(part_links(spark, d, STRONGEST)))
-    return rounded(I.prediction_scores(I.two_hops(nbr), nbr).select("a", "b", "cn", "hub", "score"))
+    nbr = cut(L.neighbours(part_links(spark, d)))
+    return rounded(I.predictions(nbr).where(F.round("score", 9) >= 0.35).select("a", "b", "cn", "hub", "score"))
 
 
 _SURPRISE = f"{LINKS}, {SOURCES}, {SIGNALS}, {NODES}, m AS (SELECT greatest(max(link_count), 1) AS most FROM nodes), j AS (SELECT e.a, e.b, e.weight, e.shared, x.type AS ta, y.type AS tb, x.community AS ca, y.community AS cb, x.link_count AS da, y.link_count AS db, most, least(x.type, y.type) || '|' || greatest(x.type, y.type) IN ('concept|source','source|synthesis','entity|query','source|thesis','methodology|source') AS far FROM edges e JOIN nodes x ON x.id = e.a JOIN nodes y ON y.id = e.b, m WHERE NOT x.is_structural AND NOT y.is_structural), r AS (SELECT a, b, weight, CASE WHEN ca <> cb THEN 3 ELSE 0 END AS cross_community, CASE WHEN far THEN 2 ELSE 0 END AS distant_types, CASE WHEN ta <> tb AND NOT far THEN 1 ELSE 0 END AS cross_type, CASE WHEN least(da, db) <= 2 AND greatest(da, db) >= 0.5 * most THEN 2 ELSE 0 END AS peripheral_hub, CASE WHEN weight > 0 AND round(weight, 9) < 2 THEN 1 ELSE 0 END AS weak_tie, CASE WHEN shared >= 2 THEN 2 ELSE 0 END AS source_overlap FROM j), s AS (SELECT *, cross_community + distant_types + cross_type + peripheral_hub + weak_tie + source_overlap AS score FROM r)"
@@ -389,9 +384,9 @@ def existing_link_evidence(spark, d):
     return I.named_neighbours(L.undirected(links), L.neighbours(links))
 
 
-@query(f"WITH {BARE}, {NODES} SELECT id, label, link_count FROM nodes WHERE NOT is_structural AND link_count <= 1")
+@query(f"WITH {WEB} SELECT id, label, link_count FROM nodes WHERE NOT is_structural AND link_count <= 1")
 def isolated_pages(spark, d):
-    return I.isolated(part_nodes(spark, d, cut(part_links(spark, d, BAREST)))).select("id", "label", "link_count")
+    return I.isolated(web(spark, d)[1]).select("id", "label", "link_count")
 
 
 @query(SQL["community_summary"].replace("SELECT community, node_count, intra_edges", "SELECT community, node_count").replace(", round(2.0 * intra_edges / node_count, 6) AS mean_intra_degree, node_count >= 3 AND", " FROM summ, one WHERE node_count >= 3 AND").replace(" AS is_sparse FROM summ, one", ""))
@@ -400,22 +395,22 @@ def sparse_communities(spark, d):
     return rounded(I.sparse_communities(C.summary(part_nodes(spark, d, links), L.undirected(links))).select("community", "node_count", "cohesion"))
 
 
-@query(f"WITH {SPARSE}, {NODES}, s AS (SELECT n.id, count(DISTINCT x.community) AS clusters FROM nbr n JOIN nodes x ON x.id = n.nbr GROUP BY n.id) SELECT id, clusters, link_count FROM nodes JOIN s USING (id) WHERE NOT is_structural AND clusters >= 3")
+@query(f"WITH {LINKS}, {NODES}, s AS (SELECT n.id, count(DISTINCT x.community) AS clusters FROM nbr n JOIN nodes x ON x.id = n.nbr GROUP BY n.id) SELECT id, clusters, link_count FROM nodes JOIN s USING (id) WHERE NOT is_structural AND clusters >= 3")
 def bridge_nodes(spark, d):
-    links = cut(part_links(spark, d, STRONGEST))
+    links = cut(part_links(spark, d))
     return I.bridge_nodes(part_nodes(spark, d, links), L.neighbours(links), k=None)
 
 
 @query(
-    f"WITH {BARE}, {_INNER}, alone AS (SELECT 1 AS o, 0.0 AS s, 'isolated' AS kind, CAST(min(id) AS VARCHAR) AS anchor, count(*) AS n FROM nodes WHERE NOT is_structural AND link_count <= 1 HAVING count(*) > 0), "
+    f"WITH {WEB}, {_SUMMARY}, alone AS (SELECT 1 AS o, 0.0 AS s, 'isolated' AS kind, CAST(min(id) AS VARCHAR) AS anchor, count(*) AS n FROM nodes WHERE NOT is_structural AND link_count <= 1 HAVING count(*) > 0), "
     "thin AS (SELECT 2, intra_edges / (node_count * (node_count - 1) / 2), 'sparse', CAST(community AS VARCHAR), node_count FROM summ, one WHERE node_count >= 3 AND intra_edges / (node_count * (node_count - 1) / 2) < 1.5 * e / (n * (n - 1) / 2)), "
     "span AS (SELECT n.id, count(DISTINCT x.community) AS clusters FROM nbr n JOIN nodes x ON x.id = n.nbr GROUP BY n.id), "
     "over_ AS (SELECT 3, -clusters, 'bridge', CAST(id AS VARCHAR), clusters FROM nodes JOIN span USING (id) WHERE NOT is_structural AND clusters >= 3 ORDER BY clusters DESC, link_count DESC, id LIMIT 3) "
     "SELECT kind, anchor, n FROM (SELECT * FROM alone UNION ALL SELECT * FROM thin UNION ALL SELECT * FROM over_) ORDER BY o, s, length(anchor), anchor LIMIT 10"
 )
 def gap_cards(spark, d):
-    links = cut(part_links(spark, d, BAREST))
-    nodes = cut(part_nodes(spark, d, links))
+    links, nodes = web(spark, d)
+    nodes = cut(nodes)
     return I.gap_cards(nodes, C.summary(nodes, L.undirected(links)), L.neighbours(links))
 
 
@@ -432,14 +427,18 @@ def _customers(spark, d):
 # ---------------------------------------------------------------- trends and history
 
 
-@query(f"WITH {BARE}, {NODES} SELECT id, CAST(floor(({NOW} - created) / 86400000) AS BIGINT) AS age, CASE WHEN floor(({NOW} - created) / 86400000) >= 30 THEN 2 ELSE 1 END AS severity FROM nodes WHERE NOT is_structural AND link_count <= 1 AND created IS NOT NULL AND floor(({NOW} - created) / 86400000) >= 7")
+@query(f"WITH n AS (SELECT o_orderkey AS id, count(DISTINCT l_partkey) AS links, CAST(floor(({NOW} - epoch_us(any_value(o_orderdate)) // 1000) / 86400000) AS BIGINT) AS age FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT id, age, CASE WHEN age >= 30 THEN 2 ELSE 1 END AS severity FROM n WHERE links <= 1 AND age >= 7")
 def aging_orphans(spark, d):
-    return T.aging_orphans(part_nodes(spark, d, cut(part_links(spark, d, BAREST))), NOW, None).select("id", "age", "severity")
+    """Orders as pages that link to their parts: those with one part or none, by age."""
+    parts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.countDistinct("l_partkey").alias("n"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(False).alias("is_structural"), S.millis(F.col("o_orderdate")).alias("created"))
+    pages = orders.join(parts, "id", "left").withColumn("vault_link_count", F.coalesce("n", F.lit(0)))
+    return T.aging_orphans(pages, NOW, None).select("id", "age", "severity")
 
 
-@query(f"WITH {SPARSE}, {NODES}, x AS (SELECT nodes.id, d AS degree, CAST(floor(({NOW} - modified) / 86400000) AS BIGINT) AS idle FROM nodes JOIN deg ON deg.id = nodes.id WHERE NOT is_structural AND modified IS NOT NULL AND d >= 5) SELECT id, degree, idle, round((degree * idle / 180.0) / (degree * idle / 180.0 + 4), 6) AS score FROM x WHERE idle >= 180")
+@query(f"WITH {LINKS}, {NODES}, x AS (SELECT nodes.id, d AS degree, CAST(floor(({NOW} - modified) / 86400000) AS BIGINT) AS idle FROM nodes JOIN deg ON deg.id = nodes.id WHERE NOT is_structural AND modified IS NOT NULL AND d >= 5) SELECT id, degree, idle, round((degree * idle / 180.0) / (degree * idle / 180.0 + 4), 6) AS score FROM x WHERE idle >= 180")
 def stale_hubs(spark, d):
-    links = cut(part_links(spark, d, STRONGEST))
+    links = cut(part_links(spark, d))
     return rounded(T.stale_hubs(part_nodes(spark, d, links), L.neighbours(links), NOW, None))
 
 
@@ -530,12 +529,12 @@ def first_seen_series(spark, d):
     return T.first_seen_series(_history(spark, d), 1_706_659_200_000, T.DAY, 30)
 
 
-@query(f"WITH {SPARSE}, {_HOPS} SELECT a || ':::' || b AS key, round(score, 6) AS score FROM scored WHERE score >= 0.2 AND (a + b) % 3 <> 0")
+@query(f"WITH {LINKS}, {_HOPS} SELECT a || ':::' || b AS key, round(score, 6) AS score FROM scored WHERE score >= 0.35 AND (a + b) % 3 <> 0")
 def deliberate_nonlinks(spark, d):
-    nbr = cut(L.neighbours(part_links(spark, d, STRONGEST)))
-    scored = cut(I.prediction_scores(I.two_hops(nbr), nbr).select(F.concat_ws(":::", F.col("a").cast("string"), F.col("b").cast("string")).alias("key"), "score", (F.col("a") + F.col("b")).alias("s")))
+    nbr = cut(L.neighbours(part_links(spark, d)))
+    scored = cut(I.predictions(nbr).select(F.concat_ws(":::", F.col("a").cast("string"), F.col("b").cast("string")).alias("key"), "score", (F.col("a") + F.col("b")).alias("s")))
     history = scored.where("s % 3 = 0").select("key", F.lit(0).cast("long").alias("first_seen"))
-    return rounded(T.deliberate_non_links(scored.drop("s"), history.unionByName(spark.createDataFrame([("begun", 0)], "key string, first_seen long")), NOW))
+    return rounded(T.deliberate_non_links(scored.drop("s"), history.unionByName(spark.createDataFrame([("begun", 0)], "key string, first_seen long")), NOW, 0.35))
 
 
 # ---------------------------------------------------------------- filters, facets, search
@@ -552,17 +551,17 @@ def tag_facet(spark, d):
 
 
 _FILTERS = V.Filters(hidden_types=("query",), hidden_communities=(3,), hidden_tags=("Brand#11",), hide_structural=True, hide_isolated=True)
-_SHOWN = f"{SPARSE}, {NODES}, shown AS (SELECT * FROM nodes WHERE type <> 'query' AND lower(raw_type) <> 'query' AND community <> 3 AND tag <> 'Brand#11' AND NOT is_structural AND link_count <> 0)"
+_SHOWN = f"{LINKS}, {NODES}, shown AS (SELECT * FROM nodes WHERE type <> 'query' AND lower(raw_type) <> 'query' AND community <> 3 AND tag <> 'Brand#11' AND NOT is_structural AND link_count <> 0)"
 
 
 @query(f"WITH {_SHOWN} SELECT id, label FROM shown")
 def visibility(spark, d):
-    return V.visible_nodes(part_nodes(spark, d, cut(part_links(spark, d, STRONGEST))), _FILTERS).select("id", "label")
+    return V.visible_nodes(part_nodes(spark, d, cut(part_links(spark, d))), _FILTERS).select("id", "label")
 
 
 @query(f"WITH {_SHOWN} SELECT a, b FROM und WHERE a IN (SELECT id FROM shown) AND b IN (SELECT id FROM shown)")
 def visible_edges(spark, d):
-    links = cut(part_links(spark, d, STRONGEST))
+    links = cut(part_links(spark, d))
     return V.edges_between(L.undirected(links), V.visible_nodes(part_nodes(spark, d, links), _FILTERS))
 
 
@@ -573,7 +572,7 @@ def visible_edges(spark, d):
 )
 def visible_paths(spark, d):
     """The shortest paths between the first and the last part that filters leave, through such parts only."""
-    links = cut(part_links(spark, d, STRONGEST))
+    links = cut(part_links(spark, d))
     nodes = cut(part_nodes(spark, d, links))
     ends = V.visible_nodes(nodes, _FILTERS).agg(F.min("id"), F.max("id")).first()
     found = P.visible_paths(nodes, L.undirected(links), _FILTERS, *ends)
@@ -582,7 +581,7 @@ def visible_paths(spark, d):
 
 @query(f"WITH {_SHOWN} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM shown) AS shown, (SELECT count(*) FROM und) AS edges")
 def status_counters(spark, d):
-    links = cut(part_links(spark, d, STRONGEST))
+    links = cut(part_links(spark, d))
     nodes = cut(part_nodes(spark, d, links))
     return nodes.agg(F.count("*").alias("nodes"), F.count_if(_FILTERS.column()).alias("shown")).crossJoin(L.undirected(links).agg(F.count("*").alias("edges")))  # one row each
 
@@ -620,7 +619,8 @@ def layout_key(spark, d):
 
 @query()
 def layout_adoption(spark, d):
-    nodes, edges = sparse_graph(spark, d)
+    links = cut(part_links(spark, d))
+    nodes, edges = part_nodes(spark, d, links), L.undirected(links)
     known = nodes.where("id % 2 = 0").select("id", F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
     return V.adopt_layout(nodes.select("id"), cut(L.neighbours(edges.toDF("src", "dst"))), known)
 
@@ -637,14 +637,14 @@ def snapshot_coverage(spark, d):
 
 def part_notes(spark, d):
     """Markdown notes made from parts: a head, a heading, and links to the parts that follow."""
-    links = part_links(spark, d, STRONGEST)
+    links = part_links(spark, d)
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", "p_brand", "p_size")
     to = links.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("[[part-"), F.col("dst").cast("string"), F.lit("]]")))), " and ").alias("to"))
     note = F.concat(F.lit("---\ntype: "), "p_type", F.lit("\ntags: ['#"), "p_brand", F.lit("', size"), F.col("p_size").cast("string"), F.lit("]\nsources: raw/Supplier "), F.col("p_size").cast("string"), F.lit(".pdf\n---\n# "), "p_name", F.lit("\nSee "), F.coalesce("to", F.lit("nothing")), F.lit(" and [[missing-"), F.col("p_size").cast("string"), F.lit("|gone]] but not `[[code]]`.\n"))
     return p.join(to, "id", "left").select("id", F.concat(F.lit("parts/part-"), F.col("id").cast("string"), F.lit(".md")).alias("path"), note.alias("content"))
 
 
-_TO = f"{SPARSE}, tos AS (SELECT src AS id, string_agg('part-' || dst, ',' ORDER BY '[[part-' || dst || ']]') AS t FROM links GROUP BY 1)"
+_TO = f"{LINKS}, tos AS (SELECT src AS id, string_agg('part-' || dst, ',' ORDER BY '[[part-' || dst || ']]') AS t FROM links GROUP BY 1)"
 
 
 @query(f"WITH {_TO} SELECT 'parts/part-' || p_partkey AS id, p_name AS title, p_type AS raw_type, p_brand || ',size' || p_size AS tags, 'supplier ' || p_size AS sources, CASE WHEN t IS NULL THEN '' ELSE t || ',' END || 'missing-' || p_size AS links, false AS is_structural FROM part LEFT JOIN tos ON id = p_partkey")
@@ -808,7 +808,7 @@ def note_actions(spark, d):
 
 @query()
 def report_related(spark, d):
-    links, sources = cut(part_links(spark, d, STRONGEST)), part_sources(spark, d)
+    links, sources = cut(part_links(spark, d)), part_sources(spark, d)
     nodes, edges = cut(part_nodes(spark, d, links)), cut(R.edge_scores(links, sources))
     top = R.incident(edges.select("a", "b", F.col("total").alias("weight")), 10)
     signals = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("x"), "total", "direct_link", "adamic_adar", "source_overlap", "co_citation").select("x.*", "total", "direct_link", "adamic_adar", "source_overlap", "co_citation")
@@ -820,12 +820,12 @@ def report_related(spark, d):
 
 
 def _findings(spark, d):
-    nbr = cut(L.neighbours(part_links(spark, d, STRONGEST)))
-    pairs = I.prediction_scores(I.two_hops(nbr), nbr)
+    nbr = cut(L.neighbours(part_links(spark, d)))
+    pairs = I.predictions(nbr).where(F.round("score", 9) >= 0.35)
     return pairs.select(F.concat_ws(":::", F.col("a").cast("string"), F.col("b").cast("string")).alias("key"), F.get(F.array(*map(F.lit, ["missing-link", "existing-link", "sparse", "brokerage", "stale-hub"])), F.pmod("a", F.lit(5)).cast("int")).alias("kind"), F.get(F.array(*map(F.lit, ["prediction", "connections", "gaps", "structure", "trends"])), F.pmod("a", F.lit(5)).cast("int")).alias("analyser"), F.round("score", 6).alias("score"), (F.pmod("b", F.lit(3)) + 1).cast("int").alias("severity"), F.get(F.array(*map(F.lit, ["one-click", "edit", "write"])), F.pmod(F.col("a") + F.col("b"), F.lit(3)).cast("int")).alias("effort"), F.lit("moderate").alias("confidence"))
 
 
-_FOUND = f"{SPARSE}, {_HOPS}, found AS (SELECT a || ':::' || b AS key, ['missing-link','existing-link','sparse','brokerage','stale-hub'][a % 5 + 1] AS kind, ['prediction','connections','gaps','structure','trends'][a % 5 + 1] AS analyser, round(score, 6) AS score, CAST(b % 3 + 1 AS INT) AS severity, (a + b) % 3 AS ease FROM scored)"
+_FOUND = f"{LINKS}, {_HOPS}, found AS (SELECT a || ':::' || b AS key, ['missing-link','existing-link','sparse','brokerage','stale-hub'][a % 5 + 1] AS kind, ['prediction','connections','gaps','structure','trends'][a % 5 + 1] AS analyser, round(score, 6) AS score, CAST(b % 3 + 1 AS INT) AS severity, (a + b) % 3 AS ease FROM scored WHERE round(score, 9) >= 0.35)"
 _RANKED = f"{_FOUND}, n AS (SELECT *, CASE analyser WHEN 'connections' THEN round(score / 6, 9) ELSE round(least(score, 1), 9) END AS norm FROM found), c AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY analyser ORDER BY severity DESC, ease, norm DESC, analyser, key) <= 6)"
 
 
@@ -879,18 +879,18 @@ def precision_at_k(spark, d):
     return rounded(E.precision_at(_labelled(spark, d).withColumnRenamed("doc_id", "key")))
 
 
-@query(f"WITH {SPARSE}, {NODES}, {_HOPS} SELECT a, b FROM pool JOIN deg x ON x.id = a JOIN deg y ON y.id = b WHERE x.d <= 10 AND y.d <= 10 AND a NOT IN (SELECT id FROM nodes WHERE is_structural) AND b NOT IN (SELECT id FROM nodes WHERE is_structural)")
+@query(f"WITH {LINKS}, {NODES}, {_HOPS} SELECT a, b FROM pool JOIN deg x ON x.id = a JOIN deg y ON y.id = b WHERE x.d <= 40 AND y.d <= 40 AND a NOT IN (SELECT id FROM nodes WHERE is_structural) AND b NOT IN (SELECT id FROM nodes WHERE is_structural)")
 def pool_rules(spark, d):
-    links = cut(part_links(spark, d, STRONGEST))
+    links = cut(part_links(spark, d))
     nbr = L.neighbours(links)
-    return E.pool_rules(I.two_hops(nbr), part_nodes(spark, d, links), nbr, 10)
+    return E.pool_rules(I.two_hops(nbr), part_nodes(spark, d, links), nbr, 40)
 
 
-@query(f"WITH {SPARSE}, {NODES}, {_HOPS} SELECT round(avg(cn), 6) AS mean_shared, round(avg(hub), 6) AS mean_hub, round(avg(CASE WHEN hub > 20 THEN 1 ELSE 0 END), 6) AS hub_share, round(avg(CASE WHEN x.community <> y.community THEN 1 ELSE 0 END), 6) AS cross_share FROM aa JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b")
+@query(f"WITH {LINKS}, {NODES}, {_HOPS} SELECT round(avg(cn), 6) AS mean_shared, round(avg(hub), 6) AS mean_hub, round(avg(CASE WHEN hub > 20 THEN 1 ELSE 0 END), 6) AS hub_share, round(avg(CASE WHEN x.community <> y.community THEN 1 ELSE 0 END), 6) AS cross_share FROM aa JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b")
 def composition(spark, d):
-    links = cut(part_links(spark, d, STRONGEST))
+    links = cut(part_links(spark, d))
     nbr = L.neighbours(links)
-    return rounded(E.composition(R.adamic_adar(I.two_hops(nbr), nbr), part_nodes(spark, d, links)))
+    return rounded(E.composition(I.predictions(nbr), part_nodes(spark, d, links)))
 
 
 @query("WITH o AS (SELECT doc_id AS key FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50), n AS (SELECT doc_id AS key FROM documents ORDER BY n_chars % 10000 DESC, doc_id LIMIT 50) SELECT count(o.key) FILTER (n.key IS NOT NULL) AS kept, round(count(o.key) FILTER (n.key IS NOT NULL) / CAST(count(*) AS DOUBLE), 6) AS jaccard FROM o FULL JOIN n ON o.key = n.key")
@@ -956,7 +956,7 @@ def degree_quantiles(spark, d):
     return rounded(E.describe(L.neighbours(part_links(spark, d)).groupBy("id").agg(F.count("*").alias("d")), "d"))
 
 
-@query(f"WITH {SPARSE}, {SOURCES}, {_HOPS}, s AS (SELECT id, list(source) AS s FROM src GROUP BY id) SELECT a, b, x.d * y.d AS attachment, round(coalesce(len(list_intersect(sa.s, sb.s)) / CAST(len(list_distinct(sa.s || sb.s)) AS DOUBLE), 0), 6) AS set_jaccard FROM pool JOIN deg x ON x.id = a JOIN deg y ON y.id = b LEFT JOIN s sa ON sa.id = a LEFT JOIN s sb ON sb.id = b")
+@query(f"WITH {LINKS}, {SOURCES}, s AS (SELECT id, list(source) AS s FROM src GROUP BY id) SELECT a, b, x.d * y.d AS attachment, round(coalesce(len(list_intersect(sa.s, sb.s)) / CAST(len(list_distinct(sa.s || sb.s)) AS DOUBLE), 0), 6) AS set_jaccard FROM und JOIN deg x ON x.id = a JOIN deg y ON y.id = b LEFT JOIN s sa ON sa.id = a LEFT JOIN s sb ON sb.id = b")
 def extra_scores(spark, d):
-    nbr = cut(L.neighbours(part_links(spark, d, STRONGEST)))
-    return rounded(E.extra_scores(I.two_hops(nbr), nbr, part_sources(spark, d).withColumnRenamed("source", "item")))
+    nbr = cut(L.neighbours(part_links(spark, d)))
+    return rounded(E.extra_scores(nbr.where("id < nbr").toDF("a", "b"), nbr, part_sources(spark, d).withColumnRenamed("source", "item")))
