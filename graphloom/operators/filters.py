@@ -117,6 +117,45 @@ def community_colour(community: Column, colours: int = 12) -> Column:
     return F.when(community >= 0, F.pmod(community, F.lit(colours))).otherwise(-1)
 
 
+def name_slot(name: Column, slots: int = 22) -> Column:
+    """A slot that a name alone decides: its characters as digits to the base 31, modulo 2^32 and slots."""
+    digits = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return (F.aggregate(digits, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % (1 << 32)) % slots).cast("int")
+
+
+def node_colour(nodes: DataFrame, mode: str, *, custom: str = "", types: DataFrame | None = None, type_overrides: dict[str, str] | None = None, community_overrides: dict[int, str] | None = None, slots: int = 22) -> DataFrame:
+    """nodes (type, community) with colour, by mode: custom, community or type.
+
+    A choice of the reader's own goes first, but only in the mode that it belongs to;
+    an empty one is none.  Then comes the slot of the community, or that which types
+    (key, slot) assigns to the type, or one that the type's name decides.
+    """
+    chosen = lambda given, c: F.nullif(F.try_element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), c), F.lit("")) if given else F.lit(None).cast("string")
+    if mode == "custom":
+        return nodes.withColumn("colour", F.lit(custom))
+    if mode == "community":
+        return nodes.withColumn("colour", F.coalesce(chosen(community_overrides, F.col("community")), F.concat(F.lit("community "), community_colour(F.col("community")).cast("string"))))
+    slot = name_slot(F.col("type"), slots)
+    if types is not None:
+        nodes = nodes.join(types.select(F.col("key").alias("type"), F.col("slot").alias("__slot")), "type", "left")
+        slot = F.coalesce("__slot", slot)
+    return nodes.withColumn("colour", F.coalesce(chosen(type_overrides, F.col("type")), F.concat(F.lit("type "), slot.cast("string")))).drop("__slot")
+
+
+# Sizes of graphs above which less is drawn, and what for each: rounds of a layout, density and least size of labels, and whether edges and labels go while the view moves.
+TUNING = [(2500, 28, 0.08, 18, True, True), (1500, 40, 0.14, 14, True, True), (1200, 40, 0.14, 14, True, False), (600, 65, 0.24, 10, True, False), (250, 90, 0.4, 4, False, False), (-1, 140, 0.4, 4, False, False)]
+
+
+def tuning(nodes: Column) -> Column:
+    """What a graph of so many nodes can afford to draw: iterations, density, threshold, hide_edges, hide_labels."""
+    names = ("iterations", "density", "threshold", "hide_edges", "hide_labels")
+    rows = [(above, F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)])) for above, *row in TUNING]
+    out = rows[-1][1]
+    for above, row in reversed(rows[:-1]):
+        out = F.when(nodes > above, row).otherwise(out)
+    return out
+
+
 def layout_key(nodes: DataFrame, edges: DataFrame, gravity: float = 1.0) -> DataFrame:
     """One row, key: the same for the same pages, edges and weights to a thousandth.
 

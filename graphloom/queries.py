@@ -195,6 +195,16 @@ def community_top_nodes(spark, d):
     return rounded(C.top_members(nodes, edges))
 
 
+@query(
+    f"WITH {LINKS}, {SOURCES}, {SIGNALS}, {_INNER}, w AS (SELECT id, sum(weight) AS w FROM (SELECT a AS id, weight FROM edges UNION ALL SELECT b, weight FROM edges) GROUP BY id), "
+    "top AS (SELECT community, label AS core FROM nodes LEFT JOIN w USING (id) QUALIFY row_number() OVER (PARTITION BY community ORDER BY round(coalesce(w, 0), 6) DESC, link_count DESC, id) = 1) "
+    "SELECT community, node_count AS members, round(intra_edges / (CASE WHEN node_count > 1 THEN node_count * (node_count - 1) / 2 ELSE 1.0 END), 6) AS cohesion, node_count >= 3 AND intra_edges / (node_count * (node_count - 1) / 2) < 1.5 * one.e / (one.n * (one.n - 1) / 2) AS is_sparse, core FROM summ JOIN top USING (community), one"
+)
+def cluster_facet(spark, d):
+    nodes, edges = scored_edges(spark, d)
+    return rounded(C.cluster_facet(nodes, cut(edges)))
+
+
 @query("WITH n AS (SELECT p_size AS c, count(*) AS n FROM part GROUP BY 1), r AS (SELECT c, row_number() OVER (ORDER BY n DESC, c) - 1 AS community FROM n) SELECT p_partkey AS id, community FROM part JOIN r ON c = p_size")
 def community_renumber(spark, d):
     return C.renumber(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("community")))
@@ -625,6 +635,32 @@ def layout_adoption(spark, d):
     return V.adopt_layout(nodes.select("id"), cut(L.neighbours(edges.toDF("src", "dst"))), known)
 
 
+@query(
+    "WITH p AS (SELECT p_partkey AS id, p_type AS type, p_size % 8 AS community FROM part), kinds AS (SELECT type, row_number() OVER (ORDER BY type) - 1 AS slot FROM (SELECT DISTINCT type FROM p)), "
+    "h AS (SELECT type, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(type, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) % 22 AS slot FROM kinds) "
+    "SELECT id, 'type' AS mode, CASE WHEN k.slot = 0 THEN '#123456' WHEN k.slot % 2 = 1 THEN 'type ' || k.slot ELSE 'type ' || h.slot END AS colour FROM p JOIN kinds k USING (type) JOIN h USING (type) "
+    "UNION ALL SELECT id, 'community', CASE WHEN community = 3 THEN '#654321' ELSE 'community ' || community END FROM p UNION ALL SELECT id, 'custom', '#abcdef' FROM p"
+)
+def node_colours(spark, d):
+    """Colours in every mode: of types one is the reader's own, every second has a slot, and names decide the others'."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.pmod("p_size", F.lit(8)).alias("community"))
+    kinds = cut(p.select("type").distinct().withColumn("slot", (F.row_number().over(X.Window.orderBy("type")) - 1).cast("int")))  # of types
+    own = {kinds.where("slot = 0").first().type: "#123456"}
+    modes = [V.node_colour(p, "type", types=kinds.where("slot % 2 = 1").withColumnRenamed("type", "key"), type_overrides=own), V.node_colour(p, "community", community_overrides={3: "#654321", 4: ""}), V.node_colour(p, "custom", custom="#abcdef")]
+    rows = [m.select("id", F.lit(k).alias("mode"), "colour") for k, m in zip(("type", "community", "custom"), modes, strict=True)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(
+    "WITH n AS (SELECT l_orderkey, count(*) * 97 AS n FROM lineitem GROUP BY 1) SELECT l_orderkey AS id, CASE WHEN n > 2500 THEN 28 WHEN n > 1200 THEN 40 WHEN n > 600 THEN 65 WHEN n > 250 THEN 90 ELSE 140 END AS iterations, "
+    "CAST(CASE WHEN n > 2500 THEN 0.08 WHEN n > 1200 THEN 0.14 WHEN n > 600 THEN 0.24 ELSE 0.4 END AS DOUBLE) AS density, CASE WHEN n > 2500 THEN 18 WHEN n > 1200 THEN 14 WHEN n > 600 THEN 10 ELSE 4 END AS threshold, n > 600 AS hide_edges, n > 1500 AS hide_labels FROM n"
+)
+def drawing_budget(spark, d):
+    """What graphs of the size of each order's lines, times 97, can afford to draw."""
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.count("*") * 97).alias("n"))
+    return n.select("id", V.tuning(F.col("n")).alias("t")).select("id", "t.*")
+
+
 @query("WITH s AS (SELECT 'even' AS snapshot, p_partkey AS id FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'most', p_partkey FROM part WHERE p_partkey % 5 <> 0) SELECT snapshot, round(count(*) / CAST((SELECT count(*) FROM part) AS DOUBLE), 6) AS coverage FROM s GROUP BY 1 HAVING count(*) >= 0.6 * (SELECT count(*) FROM part) ORDER BY coverage DESC LIMIT 1")
 def snapshot_coverage(spark, d):
     ids = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
@@ -713,6 +749,19 @@ def folder_rollup(spark, d):
     return vault.folder_counts(_customers(spark, d))
 
 
+@query(
+    f"WITH {_FOLDERS}, n AS (SELECT y AS path, count(*) AS n FROM f GROUP BY 1), asked AS (SELECT DISTINCT x AS folder FROM f UNION ALL SELECT DISTINCT '/' || y || '/' FROM f UNION ALL SELECT ' ' UNION ALL SELECT 'nowhere' UNION ALL SELECT 'A') "
+    "SELECT folder, CASE WHEN trim(folder) = '' THEN 'whole' WHEN p.n IS NOT NULL THEN 'exact' WHEN u.k > 0 THEN 'below' ELSE 'none' END AS kind, CASE WHEN trim(folder) = '' OR p.n IS NOT NULL THEN 1 ELSE coalesce(u.k, 0) END AS folders, coalesce(p.n, u.n, 0) AS n "
+    "FROM asked LEFT JOIN n p ON p.path = trim(folder, '/') LEFT JOIN (SELECT split_part(path, '/', 1) AS x, count(*) AS k, sum(n) AS n FROM n GROUP BY 1) u ON u.x = folder"
+)
+def folder_description(spark, d):
+    """What is in the folders of nations, when only these are listed: of nations, regions, the root, and folders that aren't there."""
+    c = cut(_customers(spark, d).select(F.regexp_extract("path", "^(.*)/", 1).alias("y")))
+    listed = c.groupBy(F.col("y").alias("path")).agg(F.count("*").alias("n"))
+    asked = c.select(F.substring_index("y", "/", 1)).union(c.select(F.concat(F.lit("/"), "y", F.lit("/")))).distinct().union(spark.createDataFrame([(" ",), ("nowhere",), ("A",)], "folder string"))
+    return vault.describe_folders(asked.toDF("folder"), listed)
+
+
 @query(f"WITH {_FOLDERS} SELECT path FROM f WHERE x = 'ASIA' AND y <> 'ASIA/CHINA'")
 def workspace_scope(spark, d):
     return vault.in_scope(_customers(spark, d), "/ASIA/", ["ASIA/CHINA/"]).select("path")

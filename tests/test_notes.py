@@ -58,8 +58,8 @@ def test_scope_and_folders(spark):
 
 def test_history_reads_what_can_be_read(spark, tmp_path):
     p = tmp_path / "h.jsonl"
-    p.write_text('{"key":"a","firstSeen":1,"lastSeen":5}\n\n{"key":"a","firstSeen":1,"lastSeen":9}\n{"key":"b","firstSeen":3}\n{"key":"c","fir')
-    assert {(r.key, r.first_seen, r.last_seen) for r in vault.read_history(spark, str(p)).collect()} == {("a", 1, 9), ("b", 3, 3)}
+    p.write_text('{"key":"a","firstSeen":1,"lastSeen":5}\n\n{"key":"a","firstSeen":1,"lastSeen":9}\n{"key":"a","firstSeen":1,"lastSeen":7}\n{"key":"b","firstSeen":3}\n{"key":"c","fir')
+    assert {(r.key, r.first_seen, r.last_seen) for r in vault.read_history(spark, str(p)).collect()} == {("a", 1, 7), ("b", 3, 3)}
 
 
 def test_mentions(spark):
