@@ -62,8 +62,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 class Pieces:
     """A SentencePiece BPE model with byte fallback, a dummy prefix and no normalisation."""
 
-    #: Units, and pairs of tokens, whose outcomes are kept; past that, all are forgotten.  Longer units than SHORT aren't kept.
-    UNITS, PAIRS, SHORT = 500_000, 500_000, 64
+    #: Units, words, and pairs of tokens, whose outcomes are kept; past that, all are forgotten.  Longer units than SHORT aren't kept.
+    UNITS, WORDS, PAIRS, SHORT = 150_000, 250_000, 250_000, 64
 
     def __init__(self, model: bytes):
         self.text, self.score, kinds = [], [], []
@@ -217,7 +217,7 @@ class Pieces:
         if "\n" not in word:
             mark = self.marks.get(word[:1])
             done = "".join([f" {i}" for i in self.ids(mark + word[1:] if mark else BLANK + word)])
-            if len(self.words) >= self.UNITS:
+            if len(self.words) >= self.WORDS:
                 self.words.clear()
             if len(word) <= self.SHORT:
                 self.words[word] = done
