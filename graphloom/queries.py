@@ -902,11 +902,19 @@ def visible_findings(spark, d):
     return X.visible(found, found.where("severity = 1").select("key")).select("key")
 
 
+def customer_notes(spark, d):
+    """Notes of customers, which link to their nation's note and to the customer of half their number, and name the one after next."""
+    name = lambda k: F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"))
+    text = F.concat(F.lit("---\ntype: entity\nsources: [raw/"), F.col("n").cast("string"), F.lit(".pdf]\n---\n# "), "name", F.lit("\nOf [[NATION_"), F.col("n").cast("string"), F.lit("]], after [[c"), F.floor(F.col("k") / 2).cast("string"), F.lit("]] and before "), name(F.col("k") + 2), F.lit(" too.\n"))
+    c = _customers(spark, d)
+    nations = c.select(F.concat(F.substring_index("path", "/", 1), F.lit("/NATION_"), F.col("n").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("# Nation number "), F.col("n").cast("string"), F.lit("\n")).alias("content")).distinct()
+    return c.select("path", text.alias("content")).unionByName(nations)
+
+
 @query()
 def analyse_notes(spark, d):
     """Notes to graph to ranked findings, from end to end."""
-    raw = cut(part_notes(spark, d).drop("id"))
-    graph = build_graph(raw)
+    graph = build_graph(cut(customer_notes(spark, d)))
     return rounded(analyse(graph, NOW).select("rank", "section", "key", "kind", "analyser", "score", "severity", "effort", "confidence"))
 
 
