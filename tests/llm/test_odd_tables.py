@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import annsearch, bloomlm, chat, langid, mixing, passages, pieces, queries, simhash, sketch, toxicity
+from graphloom.llm import alignment, annsearch, bloomlm, chat, jaccard, langid, mixing, passages, pieces, queries, simhash, sketch, toxicity
 
 RNG = random.Random(1)
 WORDS = [f"word{k}" for k in range(400)]
@@ -40,6 +40,12 @@ def labels(spark):
     return spark.createDataFrame([(1, 0), (5, 1), (5, 0), (7, 1), (8, 0), (None, 1), (99, 1), (3, None)], "doc_id long, toxic int")
 
 
+def alignment_paths():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def score_lm(spark, df):
     return bloomlm.score(df, *bloomlm.train(df))
 
@@ -52,6 +58,8 @@ ROWWISE = {
     "pieces": lambda s, d: pieces.encode_documents(d, pieces.default_model()),
     "mixing": lambda s, d: mixing.copies(d),
     "lm": score_lm,
+    "jaccard": lambda s, d: jaccard.near_classes(d),
+    "alignment": lambda s, d: alignment.align_documents(d, *alignment_paths()),
     "toxicity": lambda s, d: toxicity.score(d, toxicity.learn(d, labels(s))),
 }
 #: What gives some of the rows, with all their columns.
@@ -127,6 +135,8 @@ def test_queries_run_on_tables(spark, tmp_path):
         "op4_chat_formatting": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], "op5_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         "op6_mixing": ["doc_id"], "op7_lm_scoring": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], "op8_nearest_neighbours": ["query_id", "rank", "vec_id", "score"],
         "op9_toxicity": ["doc_id", "held_out", "score", "predicted"], "op10_substring_dedup": ["doc_id"],
+        "op11_ngram_jaccard_join": ["doc_id", "n_shingles", "component_id"], "op12_embedding_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+        "op13_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
     }
     for name, columns in asked.items():
         out = queries.QUERIES[name](spark, str(tmp_path))
