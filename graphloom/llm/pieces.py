@@ -63,7 +63,7 @@ class Pieces:
     """A SentencePiece BPE model with byte fallback, a dummy prefix and no normalisation."""
 
     #: Units, words, and pairs of tokens, whose outcomes are kept; past that, all are forgotten.  Longer units than SHORT aren't kept.
-    UNITS, WORDS, PAIRS, SHORT = 150_000, 250_000, 250_000, 64
+    UNITS, WORDS, PAIRS, SHORT = 80_000, 120_000, 150_000, 64
 
     def __init__(self, model: bytes):
         self.text, self.score, kinds = [], [], []
