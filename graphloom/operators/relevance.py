@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import saturate
-from graphloom.iterate import cut
 from graphloom.operators.links import neighbours, undirected
 
 
@@ -53,35 +52,12 @@ def shared_sources(pairs: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def pair_signals(pairs: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
-    """a, b, ways, aa, cn, cited, shared of pairs: half the links between them, what their shared neighbours give, how many there are, how many of them cite both, and shared sources.
-
-    One table holds every page's neighbours and sources, one pass of joins finds what
-    two pages share of either, and one sum per pair takes it all in.  A page that cites
-    both is a neighbour of both, so its links need no table of their own.  Every pair starts
-    from its end with fewer entries.
-    """
+    """a, b, ways, aa, cn, cited, shared of pairs: half the links between them, what their shared neighbours give, how many there are, pages that cite both, and shared sources."""
     pairs = pairs.select("a", "b").distinct()
-    way = lambda x, y, into: F.struct(F.col(x).alias("id"), F.col(y).alias("z"), F.lit(into).alias("into"))
-    direct = links.select("src", "dst").distinct()
-    nbr = direct.where("src <> dst").select(F.explode(F.array(way("src", "dst", False), way("dst", "src", True))).alias("x")).groupBy("x.id", "x.z").agg(F.max("x.into").alias("into"))
-    nbr = cut(nbr)
-    deg = nbr.groupBy(F.col("id").alias("z")).agg((1 / F.ln(F.greatest(F.count("*"), F.lit(2)).cast("double"))).alias("w"))
-    text = nbr.schema["z"].dataType != sources.schema["source"].dataType
-    plain = lambda c: F.col(c).cast("string") if text else F.col(c)
-    has = nbr.join(deg, "z").select("id", F.lit(0).alias("tag"), plain("z").alias("z"), "into", "w")
-    has = cut(has.unionByName(sources.select("id", F.lit(1).alias("tag"), plain("source").alias("z")).distinct().select("id", "tag", "z", F.lit(False).alias("into"), F.lit(0.0).alias("w"))))
-    n = has.groupBy("id", "tag").agg(F.count("*").alias("n"))
-    sized = pairs.join(n.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"id": "b", "n": "nb"}), ["b", "tag"])
-    less = F.col("na") <= F.col("nb")
-    sized = sized.select("a", "b", "tag", F.when(less, F.col("a")).otherwise(F.col("b")).alias("near"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("far"))
-    one = sized.join(has.select(F.col("id").alias("near"), "tag", "z", F.col("into").alias("in1"), "w"), ["near", "tag"])
-    met = one.join(has.select(F.col("id").alias("far"), "tag", "z", F.col("into").alias("in2")), ["far", "tag", "z"])
-    none = [F.lit(0.0).alias("aa"), F.lit(0).cast("long").alias("cn"), F.lit(0).cast("long").alias("cited"), F.lit(0).cast("long").alias("shared")]
-    by_tag = lambda t: (F.col("tag") == t).cast("long")
-    rows = met.select("a", "b", F.lit(0.0).alias("ways"), F.col("w").alias("aa"), by_tag(0).alias("cn"), (F.col("in1") & F.col("in2")).cast("long").alias("cited"), by_tag(1).alias("shared"))
-    rows = rows.unionByName(direct.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(0.5).alias("ways"), *none).join(pairs, ["a", "b"], "left_semi"))
-    rows = rows.unionByName(pairs.select("a", "b", F.lit(0.0).alias("ways"), *none))
-    return rows.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("ways", "aa", "cn", "cited", "shared")])
+    direct = links.distinct().select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg((F.count("*") / 2).alias("ways"))
+    out = pairs.join(direct, ["a", "b"], "left").join(adamic_adar(pairs, neighbours(links)).select("a", "b", "aa", "cn"), ["a", "b"], "left")
+    out = out.join(cocited(pairs, links).withColumnRenamed("n", "cited"), ["a", "b"], "left")
+    return out.join(shared_sources(pairs, sources).select("a", "b", F.col("n").alias("shared")), ["a", "b"], "left").na.fill(0)
 
 
 def relevance(pairs: DataFrame, links: DataFrame, sources: DataFrame, weights: Weights = Weights(), *, counts: bool = False) -> DataFrame:
