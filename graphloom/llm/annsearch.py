@@ -6,7 +6,7 @@ residual's part along the vector more than the part across it: for large inner
 products, only the first changes the score.  A coarse partition sends a query to
 the cells whose centroids are nearest; there, sums of entries of a table of the
 query's sixteen partial scores per run rank all codes, and the best are scored
-again, exactly, on the original vectors.
+again, exactly, on the original vectors, twice as many until the last ones add nothing.
 
 Equal vectors are one candidate that carries its least ids, and equal queries one
 query, so copies cost nothing; a large cell is cut into blocks of bounded size,
@@ -110,16 +110,16 @@ class Quantiser:
         return np.einsum("sd,swd->sw", self.parts(query[None])[0], self.books)
 
 
-def enough_probes(x: np.ndarray, centres: np.ndarray, k: int, reach: float, queries: int = 256) -> int:
-    """The cells to visit so that a share ``reach`` of the k nearest in the sample is met, for its first vectors as queries.
+def enough_probes(x: np.ndarray, centres: np.ndarray, k: int, reach: float, asked: np.ndarray) -> int:
+    """The cells to visit so that a share ``reach`` of the k nearest of asked in the sample x is met, equal vectors aside.
 
     In all of the data neighbours are nearer than in a sample of it, and fewer cells would do.
     """
-    if len(x) < 2:
+    if len(x) < 2 or not len(asked):
         return len(centres)
-    asked = x[:queries]
     near = asked @ x.T
-    near[np.arange(len(asked)), np.arange(len(asked))] = -2
+    for i, q in enumerate(asked):
+        near[i, (x == q).all(1)] = -2
     best = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
     place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
     ranks = np.sort(np.take_along_axis(place, (x @ centres.T).argmax(1)[best], 1), axis=None)
@@ -158,7 +158,7 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, per_cell: int = 1
     and vector count once.  Ties go to the smaller id.  Partition and codebooks are
     fitted to a sample of ``sample`` vectors of least hash; every vector is indexed.
     How many cells a query visits is found on the sample, for a share ``reach`` of
-    neighbours: few where vectors cluster, most where they don't.
+    neighbours of the sample's and of the queries' vectors: few where vectors cluster, most where they don't.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
@@ -177,7 +177,10 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, per_cell: int = 1
     x = unit(np.array(chosen["v"].to_pylist(), float))
     cells = int(min(most_cells, max(1, total // per_cell), len(x)))
     centres = unit(kmeans(x, cells, np.random.default_rng(0)) + 1e-12)
-    probes = enough_probes(x, centres, k, reach)
+    posed = queries.select("of").distinct().orderBy(F.xxhash64("of"), "of").limit(256).join(distinct.select(F.get("ids", F.lit(0)).alias("of"), "v"), "of").select("v").toArrow()
+    # queries may lie elsewhere than most rows
+    asked = [x[:256], *([unit(np.array(posed["v"].to_pylist(), float))] if posed.num_rows else [])]
+    probes = max(enough_probes(x, centres, k, reach, q) for q in asked)
     sent = spark.sparkContext.broadcast((Quantiser(x), centres))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +225,14 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, per_cell: int = 1
             for of, q in zip(right["of"], right["q"], strict=True):
                 q = np.array(q, float)
                 rough = scan(quantiser.tables(unit(q[None])[0]), packed)
-                best = np.argpartition(-rough, keep)[:keep] if len(rough) > keep else np.arange(len(rough))
-                exact = cosines(q, v[best])
-                found = sorted((-s, int(i)) for s, b in zip(exact, best, strict=True) for i in ids[b])[: k + 1]
+                order, at, found = np.argsort(-rough, kind="stable"), 0, []
+                while at < len(order):  # as many again, until they add nothing: codes may not tell vectors apart
+                    best = order[at : max(keep, 2 * at)]
+                    exact = cosines(q, v[best])
+                    after = sorted(found + [(-s, int(i)) for s, b in zip(exact, best, strict=True) for i in ids[b]])[: k + 1]
+                    if after == found:
+                        break
+                    found, at = after, at + len(best)
                 out += [(of, i, -s) for s, i in found]
         return pd.DataFrame(out, columns=["of", "vec_id", "score"]).astype({"of": "int64", "vec_id": "int64", "score": "float64"})
 
