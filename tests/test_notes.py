@@ -168,3 +168,34 @@ def test_findings_are_whole(spark):
     assert old.severity == 2 and list(old.anchors) == ["n/alone"] and old.evidence[0].label == "days" and len(old.fp) == 64
     said = next(r for r in got if r.kind == "unlinked-mention")
     assert said.action == "insert-link" and set(said.anchors) == {"n/alone", "n/alpha"} and said.title == "alpha page"
+
+
+def test_heads_are_read_in_c_unless_they_are_subtle(monkeypatch):
+    """What the plain parser gives, without calling it for an ordinary head, and once for heads that are the same."""
+    import yaml
+
+    from graphloom.operators import parse as P
+
+    heads = ["type: A b\ntags: ['#x', size3]\nsources: raw/S 3.pdf", "title: 3", "a: [1, 2", "tags:\n- |#x", "title: !\n", "x:\t1"]
+
+    def plain(h):
+        try:
+            return yaml.safe_load(h)
+        except yaml.YAMLError:
+            return None
+
+    assert [P._load(h) for h in heads] == [plain(h) for h in heads]
+    P._read.cache_clear()
+    monkeypatch.setattr(yaml, "safe_load", lambda h: 1 / 0)
+    got = [P._read(h) for h in heads[:1] * 3][-1]
+    assert (got["type"], got["tags"], got["sources"]) == ("A b", ["#x", "size3"], ["raw/S 3.pdf"])
+    assert P._read.cache_info().hits == 2
+
+
+def test_heads_are_read_once_where_types_are_dropped(spark):
+    from graphloom.operators.parse import parse_notes
+
+    raw = spark.createDataFrame([("a.md", "---\ntype: query\n---\nx"), ("b.md", "---\ntype: entity\n---\n[[a]]")], "path string, content string")
+    got = parse_notes(raw)
+    assert [(r.id, r.type, r.links) for r in got.collect()] == [("b", "entity", ["a"])]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
