@@ -44,3 +44,10 @@ def test_every_batch_equals_a_rebuild(spark, tmp_path):
         assert got == want, k
         assert want or k
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_note_says_each_spelling_once():
+    """A link whose spellings are all alike tries one, and a note claims a spelling by its first claim only."""
+    claims = [{"tier": t, "sub": s, "key": k} for t, s, k in [(1, 0, "x/c1"), (2, 0, "x/c1"), (2, 1, "x/c1"), (3, 0, "c1")]]
+    refs = [{"target": "c2", "keys": ["c2"] * 7}, {"target": "A", "keys": ["A", "a", "a", "a", "a", "a", "a"]}]
+    assert R.told(claims, refs) == {("x/c1", True, 1, 0, "", 0), ("c1", True, 3, 0, "", 0), ("c2", False, 0, 0, "c2", 0), ("A", False, 0, 0, "A", 0), ("a", False, 0, 0, "A", 1)}
