@@ -9,7 +9,7 @@ hash, each as large as its entries need, so it grows with the corpus.
 Counting is exact and distributed: batches reduce their tokens to distinct hashes,
 packed by segment, and each segment is counted and built in a task of its own; there
 are so many segments that one has a bounded number of tokens.  A filter of up to
-``BROADCAST`` bytes is sent to the workers.  A larger one stays where it is, and the
+``BROADCAST`` bytes is sent to the executors, as a file that all workers of one read in place.  A larger one stays where it is, and the
 n-grams of slices of documents are sent to its segments; the levels, and with them
 the scores, are the same either way.
 
@@ -25,23 +25,30 @@ odds that any two share one are about one in forty.
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Words, fold, mix, release, slices, stage, tidy
+from graphloom.llm.common import Words, fold, lean, mix, release, slices, spare, stage, tidy
 
 #: Probes per entry, and bits that an entry needs.
 PROBES, PER_ENTRY = 4, 10
 #: Tokens that a segment gets, about, at most.
 PER_SEGMENT = 1 << 21
-#: Bytes of a filter that is sent to the workers, at most.
+#: Bytes of a filter that is sent to the executors, at most.
 BROADCAST = 128 << 20
+#: Bytes of text that are counted, and scored, at once: a token has some dozens of numbers.
+COUNTED, SCORED = 4 << 20, 2 << 20
 #: Words whose counts are sent to the workers, at most.
 COMMON = 400_000
 #: How many observations the word model counts for.
@@ -115,6 +122,11 @@ def unsix(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def opened(name: str, edges: np.ndarray) -> LogBloom:
+    """The filter of a file sent with the job; its pages are in memory once for all workers of an executor."""
+    return LogBloom(np.asarray(np.memmap(SparkFiles.get(name), np.uint8, "r")), edges)
+
+
 def one_segment(bits: np.ndarray) -> LogBloom:
     """A segment by itself; probes of n-grams of that segment go to the same places as in the whole."""
     return LogBloom(bits, np.array([0, 8 * len(bits)]))
@@ -147,7 +159,7 @@ def pairs(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 0):
+        for part in slices(batch, 0, COUNTED):
             hashes, counts = np.unique(tokens(part.column(0))[0], return_counts=True)
             for k in range(0, len(hashes), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], ["h", "c"])
@@ -176,6 +188,7 @@ def _packed(hashes: np.ndarray, counts: np.ndarray, segments: int, kind: int) ->
 
 
 def _build_segment(table: pa.Table) -> pa.Table:
+    spare()  # what the segment before left
     kinds, hashes, levels = table["kind"].to_numpy(), [], []
     for kind, base in enumerate(BASES):
         mine = table.filter(pa.array(kinds == kind))
@@ -216,22 +229,28 @@ class Model:
         self.norm = math.log10(self.n + 0.1 * (self.v + 1))
         self.bytes = built.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
-    def whole(self) -> LogBloom:
-        """The filter in one piece."""
-        size = np.full(self.segments, 8)
+    def whole(self) -> tuple[str, np.ndarray]:
+        """The name of a file sent to the executors that has the filter in one piece, and the edges of its segments."""
+        spark, size = self.built.sparkSession, np.full(self.segments, 8)
         for r in self.built.select("segment", "size").collect():
             size[r.segment] = r["size"]
         edges = np.concatenate([[0], np.cumsum(size)])
-        bits = np.zeros(edges[-1], np.uint8)
-        for r in self.built.select("segment", "bits").toLocalIterator():
-            bits[edges[r.segment] : edges[r.segment + 1]] = np.frombuffer(r.bits, np.uint8)
-        return LogBloom(bits, 8 * edges)
+        folder = tempfile.mkdtemp(prefix="graphloom-filter-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = Path(folder, f"filter-{uuid.uuid4().hex}")
+        with path.open("wb") as out:
+            out.truncate(int(edges[-1]))
+            for r in self.built.select("segment", "bits").toLocalIterator():
+                out.seek(int(edges[r.segment]))
+                out.write(r.bits)
+        spark.sparkContext.addFile(str(path))
+        return path.name, 8 * edges
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the texts of docs, and the counts (h, c) of all their tokens; null texts count as empty."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = stage(texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    counts = stage(texts.mapInArrow(lean(_count_words), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # the least count at which the commonest words are few enough
     least, so_far = 1 << 62, 0
@@ -247,7 +266,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 
     def pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, COUNTED):
                 yield from _packed(*np.unique(short(pairs(*tokens(part.column(0)))), return_counts=True), segments, 1)
 
     def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +276,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
             yield from _packed(keys[order], batch.column(1).to_numpy()[order], segments, 0)
 
     schema = "segment int, kind int, hashes binary, counts binary"
-    packed = texts.mapInArrow(pack_pairs, schema).unionByName(counts.mapInArrow(pack_words, schema))
+    packed = texts.mapInArrow(lean(pack_pairs), schema).unionByName(counts.mapInArrow(lean(pack_words), schema))
     built = stage(packed.groupBy("segment").applyInArrow(_build_segment, "segment int, bits binary, size long"))
     tidy(docs.sparkSession)
     return Model(built, segments, int(n), int(v), common, often), counts
@@ -290,19 +309,20 @@ def _scored(row: int, ids: pa.Array, hashes: np.ndarray, first: np.ndarray, chan
 
 
 def _seen_by_broadcast(texts: DataFrame, model: Model) -> DataFrame:
-    """_SEEN of texts (doc_id, text), where the filter is sent to the workers."""
-    sent = texts.sparkSession.sparkContext.broadcast((model.whole(), model.norm, model.common, model.counts))
+    """_SEEN of texts (doc_id, text), where the filter is sent to the executors."""
+    (name, edges), norm = model.whole(), model.norm
+    sent = texts.sparkSession.sparkContext.broadcast((model.common, model.counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (bloom, norm, *common), row = sent.value, TaskContext.get().partitionId() << 40
+        bloom, common, row = opened(name, edges), sent.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, SCORED):
                 hashes, first = tokens(part.column(1))
                 grams = Grams(hashes, first)
                 yield _scored(row, part.column(0), hashes, first, grams.log10(bloom.levels(grams.keys), norm), *common)
                 row += part.num_rows
 
-    return stage(texts.mapInArrow(run, _SEEN))
+    return stage(texts.mapInArrow(lean(run), _SEEN))
 
 
 def _seen_by_segment(texts: DataFrame, model: Model) -> DataFrame:
@@ -326,11 +346,13 @@ def _seen_by_segment(texts: DataFrame, model: Model) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(part.num_rows, batch.column(0)[k].as_py())), part.column(2)], ["segment", "slice", "hashes"])
 
     def probe(asked: pa.Table, built: pa.Table) -> pa.Table:
+        spare()
         bloom = one_segment(np.frombuffer(built["bits"][0].as_py(), np.uint8)) if built.num_rows else None
         levels = [bloom.levels(h).astype(np.uint8).tobytes() if bloom else bytes(len(h)) for h in map(unsix, asked["hashes"].to_pylist())]
         return pa.table({"slice": asked["slice"], "segment": asked["segment"], "levels": pa.array(levels, pa.binary())})
 
     def rate(given: pa.Table, answers: pa.Table) -> pa.Table:
+        spare()
         ids, column = given["ids"].combine_chunks().flatten(), given["texts"].combine_chunks().flatten()
         hashes, first = tokens(column)
         grams = Grams(hashes, first)
@@ -339,8 +361,8 @@ def _seen_by_segment(texts: DataFrame, model: Model) -> DataFrame:
         levels[np.argsort(grams.keys, kind="stable")] = found
         return pa.Table.from_batches([_scored(given["slice"][0].as_py(), ids, hashes, first, grams.log10(levels, norm), *sent.value)])
 
-    parts = stage(texts.mapInArrow(cut, "slice long, ids array<long>, texts array<string>"))
-    asked = parts.mapInArrow(ask, "segment int, slice long, hashes binary")
+    parts = stage(texts.mapInArrow(lean(cut), "slice long, ids array<long>, texts array<string>"))
+    asked = parts.mapInArrow(lean(ask), "segment int, slice long, hashes binary")
     answers = asked.groupBy("segment").cogroup(model.built.groupBy("segment")).applyInArrow(probe, "slice long, segment int, levels binary")
     out = stage(parts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(rate, _SEEN))
     release(parts)

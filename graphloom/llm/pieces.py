@@ -30,6 +30,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import lean
+
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -280,7 +282,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 ids = [model.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i.count(" ") + 1 for i in ids], pa.int64()), pa.array(ids, pa.string()), pa.array([model.decode(i) for i in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids string, decoded string")
 
 
 def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
@@ -295,7 +297,7 @@ def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
             ids = [model.encode(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.count(" ") + 1 for i in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(model.decode(i)) for i in ids], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_model() -> str:

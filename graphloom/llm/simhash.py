@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import sift, stage, unused
+from graphloom.llm.common import lean, sift, stage, unused
 
 #: Distinct fingerprints up to which three segments are used; beyond it their 21 bits would be shared by too many, and two are.
 FEW = 1 << 24
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, *, size: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def balls(distance: int, segments: int) -> list[tuple[int, int, int]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Words, fold, slices, stage
+from graphloom.llm.common import Words, fold, lean, slices, stage
 
 #: The squared cosine at which a toxic neighbour weighs as much as silence.
 SILENT = 0.1
@@ -254,7 +254,7 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray
         kept = np.flatnonzero(have)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(have[kept])], ["term", "n"])
 
-    rows = docs.where("text IS NOT NULL").select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = docs.where("text IS NOT NULL").select("text").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(terms) + 1, np.int64)
     for r in rows:
         out[r.term] = r.n
@@ -276,7 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000, least_c
     chosen = stage(chosen)  # at most twice per_class ids
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("ident"))
     texts = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    sample = stage(texts.mapInArrow(_terms, "doc_id long, toxic int, terms array<long>, counts array<long>"))
+    sample = stage(texts.mapInArrow(lean(_terms), "doc_id long, toxic int, terms array<long>, counts array<long>"))
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n, t = totals.n, totals.t
     if not n or not t or t == n:
@@ -318,7 +318,7 @@ def score(docs: DataFrame, model: Model, *, evidence: int = 3) -> DataFrame:
                 near = [[{"doc_id": m.ids[i], "cosine": float(c), "toxic": int(m.toxic[i])} for i, c in zip(a[:evidence], b[:evidence], strict=True) if i >= 0] for a, b in zip(where, cosine, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array(near, kind)], ["doc_id", "score", "predicted", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
 
 
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
@@ -346,4 +346,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
                 p, _, _ = m.score(m.vectors(Words(part.column(at), bare=True)))
                 yield part.filter(pa.array(p < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
